@@ -38,10 +38,12 @@ def _settle(rows: DataFrame, first_digit: int, wider: int, normal: Column, keep_
     while True:
         state = open_rows.withColumn("raw_digit", F.coalesce(F.expr(f"substring(text, {start}, {width})"), F.lit(""))).withColumn("digit", normal).drop("raw_digit")
         best = F.max(F.struct(F.coalesce("doc_id", F.lit(_NONE)).alias("d"), "uid"))
-        groups = state.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
-        done = (F.col("n") == 1) | (F.length("digit") < width)
+        # Written, so that the join below has two plain exchanges and a hot group's rows can be split.
+        groups = durable(state.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n"), best.alias("best")).where("n > 1"))
+        done = F.col("n").isNull() | (F.length("digit") < width)
+        own = F.struct(F.coalesce("doc_id", F.lit(_NONE)).alias("d"), "uid")
         text = F.col("text") if keep_text else F.when(~done, F.col("text"))
-        level = durable(state.join(groups, ["gid", "digit"]).select("uid", "doc_id", text.alias("text"), "payload", "n", "best", done.alias("done")))
+        level = durable(state.join(groups, ["gid", "digit"], "left").select("uid", "doc_id", text.alias("text"), "payload", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("best", own).alias("best"), done.alias("done")))
         ended = level.where("done").drop("done")
         settled = ended if settled is None else settled.unionByName(ended)
         open_rows = level.where("not done").select("uid", "doc_id", "text", "payload", F.col("best.uid").alias("gid"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import exact_dedup, language, mixing
+from weftline.llm import exact_dedup, language, mixing, ngram_join
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     dictionaries = language.learn(docs.where(~language.held_out()))
@@ -38,6 +42,18 @@ _NORMAL = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_ngram_join": f"""
+            with recursive d as materialized (
+                select doc_id, regexp_extract_all({_NORMAL}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+            s as materialized (
+                select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                    else [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] end) as g from d),
+            n as materialized (select doc_id, len(g)::bigint as n from s),
+            e as materialized (select doc_id, unnest(g) as g from s),
+            c as materialized (select x.doc_id as a, y.doc_id as b, count(*) as common from e x join e y on x.g = y.g and x.doc_id <> y.doc_id group by all),
+            l as materialized (select a, b from c join n na on a = na.doc_id join n nb on b = nb.doc_id where 100 * common >= 80 * (na.n + nb.n - common)),
+            r as (select doc_id as a, doc_id as b from n union select r.a, l.b from r join l on r.b = l.a)
+            select n.doc_id, n.n as n_shingles, min(r.b) as component_id from n join r on n.doc_id = r.a group by all""",
         "op10_exact_dedup": f"""
             with d as (select doc_id, {_NORMAL} as t from documents),
             g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
