@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.blocks import Block, U, blocks, mix, pack, sharded, spans_hash, unpack
+from weftline.llm.blocks import Block, U, blocks, distinct, mix, pack, sharded, spans_hash, unpack
 from weftline.llm.components import components
-from weftline.llm.scratch import durable
+from weftline.llm.scratch import durable, small
 
 WORDS = 5
 SKETCH_BITS = 20
@@ -47,7 +47,7 @@ def shingles(block: Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     within = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
     start = block.first_word[doc] + within
     h = spans_hash(block.hashes, start, start + k[doc])
-    keys = np.unique((doc.astype(U) << U(52)) | (h & _52))
+    keys = distinct((doc.astype(U) << U(52)) | (h & _52))
     return keys, np.bincount((keys >> U(52)).astype(np.int64), minlength=block.n)
 
 
@@ -81,8 +81,22 @@ def rarity(texts: DataFrame) -> tuple[np.ndarray, int]:
     return np.clip(np.floor(np.log2(np.maximum(counts, 1) / max(1.0, counts.mean()))), 0, 15).astype(np.uint8), int(counts.sum())
 
 
+def _signatures(keys: np.ndarray, n: np.ndarray) -> tuple[list[int], pa.Array, pa.Array]:
+    """For each set: the octave of its size, and the parities of its elements in 64 << octave buckets and in half as many."""
+    octaves = [max(0, int(x - 1).bit_length() - 6) for x in n.tolist()]
+    words = np.array([1 << o for o in octaves])
+    starts = np.cumsum(words) - words
+    doc = (keys >> U(52)).astype(np.int64)
+    bucket = ((keys & _52) & ((words[doc] << 6) - 1).astype(U)).astype(np.int64)
+    bits = np.bincount((starts[doc] << 6) + bucket, minlength=int(words.sum()) << 6) & 1
+    wide = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+    half = [x if len(x) == 1 else x[: len(x) // 2] ^ x[len(x) // 2 :] for x in np.split(wide, starts[1:])] if len(n) else []
+    kind = pa.list_(pa.int64())
+    return octaves, pa.ListArray.from_arrays(np.r_[starts, words.sum()].astype(np.int32), wide), pa.array(half, kind)
+
+
 def _tiles(levels: np.ndarray, shards: int) -> Callable:
-    """Rows of two kinds: documents (shard null: d, t, n) and, for each shard, a payload of documents and postings."""
+    """Rows of two kinds: documents (shard null: d, t, n, signatures) and, for each shard, a payload of documents and postings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,11 +116,14 @@ def _tiles(levels: np.ndarray, shards: int) -> Callable:
                 shard, payload = [], []
                 for s, lo, hi in cuts:
                     w = who[order[lo:hi]]
-                    used, at = np.unique(w, return_inverse=True)
+                    used = distinct(w)
+                    at = np.searchsorted(used, w)
                     shard.append(s)
                     payload.append(pack(own_d[used], own_t[used], n[used].astype(np.uint32), digest[used], key[order[lo:hi]], at.astype(np.uint16)))
-                yield pa.RecordBatch.from_arrays([pa.nulls(block.n, pa.int32()), pa.nulls(block.n, pa.binary()), pa.array(own_d), pa.array(own_t), pa.array(n)], ["shard", "payload", "d", "t", "n"])
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(payload, pa.binary()), *[pa.nulls(len(shard), pa.int64())] * 3], ["shard", "payload", "d", "t", "n"])
+                octave, wide, half = _signatures(keys, n)
+                names = ["shard", "payload", "d", "t", "n", "octave", "wide", "half"]
+                yield pa.RecordBatch.from_arrays([pa.nulls(block.n, pa.int32()), pa.nulls(block.n, pa.binary()), pa.array(own_d), pa.array(own_t), pa.array(n), pa.array(octave, pa.int32()), wide, half], names)
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(payload, pa.binary()), *[pa.nulls(len(shard), x.type) for x in (pa.array(own_d), pa.array(own_t), pa.array(n), pa.array(octave, pa.int32()), wide, half)]], names)
 
     return run
 
@@ -144,31 +161,22 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.empty(len(kind), [("kind", "U1"), ("k", np.int64), ("d", np.int64), ("t", np.int64), ("d2", np.int64), ("t2", np.int64), ("n", np.int64)])
     for name, x in (("kind", kind), ("k", np.r_[np.zeros(len(i), np.int64), key[large].astype(np.int64)]), ("d", d[first]), ("t", t[first]), ("d2", d[second]), ("t2", t[second]), ("n", n[first])):
         table[name] = x
-    table = np.unique(table)
+    table = table[np.lexsort([table[c] for c in reversed(table.dtype.names)])]
+    table = table[np.r_[True, table[1:] != table[:-1]]] if len(table) else table
     for lo in range(0, len(table), 50_000):
         x = table[lo : lo + 50_000]
         yield pa.RecordBatch.from_arrays([pa.array(x[c].tolist() if c == "kind" else x[c]) for c in x.dtype.names], list(x.dtype.names))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, n, octave of the size, the set, and its signature in the width of its octave and in that of the one below."""
+    """node and its whole set as sorted 52-bit hashes."""
     for b in batches:
         node = b.column("node")
         for block in blocks(b.column("text")):
             keys, n = shingles(block)
             ends = np.cumsum(n)
-            octaves, wide, half, sets = [], [], [], []
-            for lo, hi in zip(ends - n, ends, strict=True):
-                h = keys[lo:hi] & _52
-                octave = max(0, int(hi - lo - 1).bit_length() - 6)
-                octaves.append(octave)
-                for out, width in ((wide, 64 << octave), (half, max(64, 32 << octave))):
-                    bits = np.zeros(width, np.uint8)
-                    bits[(h & U(width - 1)).astype(np.int64)] = 1
-                    out.append(np.packbits(bits).view(np.int64))
-                sets.append(h.tobytes())
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([node.slice(block.first, block.n), pa.array(n, pa.int64()), pa.array(octaves, pa.int32()), pa.array(wide, kind), pa.array(half, kind), pa.array(sets, pa.binary())], ["node", "n", "octave", "wide", "half", "elements"])
+            elements = [(keys[lo:hi] & _52).tobytes() for lo, hi in zip(ends - n, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([node.slice(block.first, block.n), pa.array(elements, pa.binary())], ["node", "elements"])
 
 
 def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,16 +192,15 @@ def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, signatures: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. rows: node, text of all documents."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    schema = f"node {_NODE}, n bigint, octave int, wide array<bigint>, half array<bigint>, elements binary"
-    found = durable(rows.join(wanted, "node").mapInArrow(_sets, schema)).dropDuplicates(["node"])
-    sides = [found.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("octave").alias(f"o{s}"), F.col("wide").alias(f"w{s}"), F.col("half").alias(f"h{s}")) for s in ("a", "b")]
+    sides = [signatures.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("octave").alias(f"o{s}"), F.col("wide").alias(f"w{s}"), F.col("half").alias(f"h{s}")) for s in ("a", "b")]
     # The signatures of a pair in the width of the smaller octave; each differing bit is an element of one set alone.
-    differ = F.expr("""aggregate(zip_with(if(oa <= ob, wa, ha), if(ob <= oa, wb, hb), (x, y) -> cast(bit_count(x ^ y) as long)), 0L, (s, x) -> s + x)""")
-    bounded = pairs.join(sides[0], "a").join(sides[1], "b").where((5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na")) & (F.abs(F.col("oa") - F.col("ob")) <= 1))
-    bounded = durable(bounded.where(F.col("na") + F.col("nb") >= 9 * differ).select("a", "b"))
+    differ = F.expr("aggregate(zip_with(if(oa <= ob, wa, ha), if(ob <= oa, wb, hb), (x, y) -> cast(bit_count(x ^ y) as long)), 0L, (s, x) -> s + x)")
+    sized = (5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na")) & (F.abs(F.col("oa") - F.col("ob")) <= 1)
+    bounded = durable(pairs.join(sides[0], "a").join(sides[1], "b").where(sized).where(F.col("na") + F.col("nb") >= 9 * differ).select("a", "b"))
+    wanted = durable(bounded.select(F.col("a").alias("node")).unionByName(bounded.select(F.col("b").alias("node"))).distinct())
+    found = durable(rows.join(small(wanted), "node").mapInArrow(_sets, f"node {_NODE}, elements binary")).dropDuplicates(["node"])
     full = bounded.join(found.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
     return full.select("a", "b", "x", "y").mapInArrow(_intersect, f"a {_NODE}, b {_NODE}")
 
@@ -212,13 +219,14 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _keyed(docs)
     levels, total = rarity(rows.select("text"))
     shards = max(4, -(-total // SHARD_SHINGLES))
-    tiles = durable(rows.select("node.d", "node.t", "text").mapInArrow(_tiles(levels, shards), "shard int, payload binary, d bigint, t bigint, n bigint"))
+    tiles = durable(rows.select("node.d", "node.t", "text").mapInArrow(_tiles(levels, shards), "shard int, payload binary, d bigint, t bigint, n bigint, octave int, wide array<bigint>, half array<bigint>"))
+    signatures = tiles.where("shard is null").select(F.struct("d", "t").alias("node"), "n", "octave", "wide", "half").dropDuplicates(["node"])
     near = tiles.where("shard is not null").select("shard", "payload").repartitionById(shards, "shard").mapInArrow(_neighbours, "kind string, k bigint, d bigint, t bigint, d2 bigint, t2 bigint, n bigint")
     near = durable(near)
     pair = [F.struct("d", "t").alias("a"), F.struct(F.col("d2").alias("d"), F.col("t2").alias("t")).alias("b")]
     equal = near.where("kind = 'E'").select(*pair).distinct()
     compared = durable(near.where("kind = 'C'").select(*pair).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = durable(equal.unionByName(_verified(compared, rows)))
+    links = durable(equal.unionByName(_verified(compared, rows, signatures)))
     roots = components(links)
     members = near.where("kind = 'G'").select("k", F.struct("d", "t").alias("node"), "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = durable(members)
@@ -226,7 +234,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_tiles = durable(members.join(mixed, "k"))
     x, y = (open_tiles.select("k", F.col("node").alias(s), F.col("root").alias(f"r{s}"), F.col("n").alias(f"n{s}")) for s in ("a", "b"))
     across = x.join(y, "k").where("a < b and ra != rb and 5 * na >= 4 * nb and 5 * nb >= 4 * na").select("a", "b").distinct().join(compared, ["a", "b"], "left_anti")
-    more = durable(_verified(durable(across), rows))
+    more = durable(_verified(durable(across), rows, signatures))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     return tiles.where("shard is null").select("d", "t", "n"), roots

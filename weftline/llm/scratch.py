@@ -6,7 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Tables of fixed-size rows up to this size are broadcast.
+SMALL_BYTES = 8 << 20
 _own: dict[str, str] = {}
 
 
@@ -33,6 +36,12 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
+    """df, marked for a broadcast if it has at most limit bytes by its row count and row size; else it is joined by a shuffle."""
+    row = 16 * sum(max(1, str(t).count("LongType") + str(t).count("StringType")) for t in (f.dataType for f in df.schema.fields))
+    return F.broadcast(df) if df.count() * row <= limit else df
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that durable() wrote in this application; frames made from them can't be read afterwards."""
     jvm = spark.sparkContext._jvm
