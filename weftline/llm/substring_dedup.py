@@ -81,9 +81,13 @@ class FingerprintIndex:
         rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         rows = rows.mapInArrow(_index_rows(self.window, self.gram), "fp long, doc_id long").distinct()
         run = durable(rows.repartition("fp").sortWithinPartitions("fp", "doc_id"))
-        shared = run.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("fp")
+        # A row for each fingerprint and run is joined, whatever the number of documents that have it.
+        spread = lambda df, lo, hi: df.groupBy("fp").agg(F.min("doc_id").alias(lo), F.max("doc_id").alias(hi))
+        new = spread(run, "lo", "hi")
+        shared = new.where("lo < hi").select("fp")
         for old in self.runs:
-            shared = shared.unionByName(run.select("fp", F.col("doc_id").alias("x")).join(old, "fp").where("x != doc_id").select("fp"))
+            both = new.join(spread(old, "old_lo", "old_hi"), "fp")
+            shared = shared.unionByName(both.where("least(lo, old_lo) < greatest(hi, old_hi)").select("fp"))
         self.found.append(durable(shared.distinct()))
         self.runs.append(run)
         if len(self.runs) > self.fan_in:
