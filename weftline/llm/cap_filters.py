@@ -1,8 +1,8 @@
 """Near-duplicate vectors by spherical-cap filters.
 
-Filter directions are the concatenations of one codeword for each of four blocks of the rotated space, so k codewords a
-block give k**4 directions. A vector goes to every filter whose direction it exceeds the threshold for; the block scores
-are list-decoded (two sorted halves), so the time follows the number of filters found. Vectors that share a filter are
+Filter directions are the concatenations of one codeword for each half of the rotated space, so k codewords a half give
+k**2 directions. A vector goes to every filter whose direction it exceeds the threshold for; those are list-decoded from
+the sorted scores of the halves, so the time follows the number of filters found. Vectors that share a filter are
 verified in double precision, each pair in the first filter it shares.
 
 The threshold is set so that a filter has BUCKET vectors on average whatever their number, and the number of directions
@@ -23,18 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components
-from weftline.llm.scratch import durable, small
+from weftline.llm.scratch import durable
+from weftline.llm.tiles import TILE, dealt
 
 LIMIT = 0.95
-SHARED = 20.0
+SHARED = 12.0
 BUCKET = 48
-TILE = 2048
-PARTS = 4
+PARTS = 2
 SEED = 7
 
 
 def parameters(n: int, limit: float = LIMIT, bucket: int = BUCKET, shared: float = SHARED) -> tuple[float, int]:
-    """The threshold in standard deviations of a random score, and the number of codewords a block, for n vectors."""
+    """The threshold in standard deviations of a random score, and the number of codewords a half, for n vectors."""
     q = min(0.05, max(bucket / max(n, 1), 1e-12))
     t = NormalDist().inv_cdf(1 - q)
     # Chance that a vector at the limit of one in a filter is in it too, by integration over the score of the first.
@@ -46,7 +46,7 @@ def parameters(n: int, limit: float = LIMIT, bucket: int = BUCKET, shared: float
 
 
 def _code(dim: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """A rotation of the space (a multiple of PARTS wide) and the codewords of each block."""
+    """A rotation of the space (a multiple of PARTS wide) and the codewords of each half."""
     wide = -(-dim // PARTS) * PARTS
     rng = np.random.default_rng([SEED, dim, k])
     rotation, _ = np.linalg.qr(rng.standard_normal((wide, wide)))
@@ -65,15 +65,14 @@ def decode(x: np.ndarray, rotation: np.ndarray, words: np.ndarray, t: float) ->
     wide, k = rotation.shape[0], words.shape[1]
     y = (rotation[:, : len(x)] @ x).reshape(PARTS, -1)
     scores = np.einsum("pkd,pd->pk", words, y)
-    left = (scores[0][:, None] + scores[1][None]).ravel()
-    right = (scores[2][:, None] + scores[3][None]).ravel()
+    left, right = scores
     bound = t / math.sqrt(wide)
     order = np.argsort(-right)
     ranked = -right[order]
     heads = np.flatnonzero(left >= bound - right.max())
     n = np.searchsorted(ranked, left[heads] - bound, "right")
     tail = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    return np.sort(np.repeat(heads, n) * (k * k) + tail)
+    return np.sort(np.repeat(heads, n) * k + tail)
 
 
 def _filters(t: float, k: int):
@@ -161,14 +160,9 @@ def near_vectors(vectors: DataFrame, limit: float = LIMIT, tile: int = TILE) ->
     classes = durable(grouped.withColumn("cid", F.monotonically_increasing_id()))
     t, k = parameters(classes.count(), limit)
     coded = durable(classes.select("cid", "mult", "v").mapInArrow(_filters(t, k), "cid long, mult long, v array<double>, filters array<long>"))
-    members = coded.withColumn("f", F.explode("filters"))
     sizes = coded.select(F.explode("filters").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    large = durable(sizes.where(F.col("n") > tile).select("f", F.ceil(F.col("n") / (tile // 2)).alias("parts")))
-    dealt = members.join(small(large), "f", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("parts"))).withColumn("with", F.explode(F.expr("sequence(0L, parts - 1)")))
-    dealt = dealt.select("f", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "cid", "mult", "side", "v", "filters")
-    tasks = max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = durable(dealt.repartition(tasks, "f", "i", "j").sortWithinPartitions("f", "i", "j").mapInArrow(_links(limit), "cid long, links long, other long"))
+    members = dealt(coded.withColumn("f", F.explode("filters")), sizes, "f", "cid", tile)
+    found = durable(members.mapInArrow(_links(limit), "cid long, links long, other long"))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("cid").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "cid")
     joined = durable(classes.join(links, "cid", "left").join(roots, "cid", "left").select("cid", "v", "least", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root")))

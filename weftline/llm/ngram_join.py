@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from weftline.llm.blocks import Block, U, blocks, distinct, mix, pack, sharded, spans_hash, unpack
 from weftline.llm.components import components
 from weftline.llm.scratch import durable, small
+from weftline.llm.tiles import dealt
 
 WORDS = 5
 SKETCH_BITS = 20
@@ -151,15 +152,22 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same_set = same_key & (digest[1:] == digest[:-1]) & (n[1:] == n[:-1])
     same_doc = same_set & (d[1:] == d[:-1]) & (t[1:] == t[:-1])
     fits = same_key & (5 * n[:-1] >= 4 * n[1:])
-    i = np.flatnonzero(fits & ~same_doc)
-    # A run of equal sets is one set below: its first document stands for it.
+    # A run of equal sets is one set below: its first document, the one with the smallest id, stands for it.
     stands = np.flatnonzero(np.r_[True, ~same_set]) if len(key) else np.zeros(0, np.int64)
+    rep = stands[np.cumsum(np.r_[True, ~same_set]) - 1] if len(key) else stands
+    copy = np.flatnonzero(np.r_[False, same_set & ~same_doc])
+    # Sets are compared with the one before in the tile, and with the first of the tile that fits in a chain of sizes.
+    after = np.flatnonzero(np.r_[False, fits & ~same_set])
+    head = np.flatnonzero(np.r_[True, ~fits]) if len(key) else stands
+    lead = head[np.cumsum(np.r_[True, ~fits]) - 1] if len(key) else stands
+    far = after[(5 * n[lead[after]] >= 4 * n[after]) & (lead[after] != rep[after - 1])]
     group = np.cumsum(np.r_[True, key[stands][1:] != key[stands][:-1]]) - 1 if len(stands) else stands
     large = stands[np.bincount(group)[group] >= 3] if len(stands) else stands
-    kind = np.r_[np.where(same_set[i], "E", "C"), np.full(len(large), "G")]
-    first, second = np.r_[i, large], np.r_[i + 1, large]
+    kind = np.repeat(["E", "C", "C", "G"], [len(copy), len(after), len(far), len(large)])
+    first = np.r_[rep[copy], rep[after - 1], lead[far], large]
+    second = np.r_[copy, after, far, large]
     table = np.empty(len(kind), [("kind", "U1"), ("k", np.int64), ("d", np.int64), ("t", np.int64), ("d2", np.int64), ("t2", np.int64), ("n", np.int64)])
-    for name, x in (("kind", kind), ("k", np.r_[np.zeros(len(i), np.int64), key[large].astype(np.int64)]), ("d", d[first]), ("t", t[first]), ("d2", d[second]), ("t2", t[second]), ("n", n[first])):
+    for name, x in (("kind", kind), ("k", np.r_[np.zeros(len(first) - len(large), np.int64), key[large].astype(np.int64)]), ("d", d[first]), ("t", t[first]), ("d2", d[second]), ("t2", t[second]), ("n", n[first])):
         table[name] = x
     table = table[np.lexsort([table[c] for c in reversed(table.dtype.names)])]
     table = table[np.r_[True, table[1:] != table[:-1]]] if len(table) else table
@@ -192,6 +200,51 @@ def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
 
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by tile: pairs of fitting sizes in different components whose signatures leave them possible."""
+
+    def pairs(rows: list[tuple], across: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        side, root, n, octave, wide, half = (list(x) for x in list(zip(*rows, strict=True))[2:])
+        side, n, octave = np.array(side), np.array(n), np.array(octave)
+        _, root = np.unique(np.array(root, [("d", np.int64), ("t", np.int64)]), return_inverse=True)
+        for o in sorted(set(octave.tolist())):
+            own = np.flatnonzero(octave == o)
+            above = np.flatnonzero(octave == o + 1)
+            x = np.array([wide[i] for i in own]).view(U)
+            for other, y in ((own, x), (above, np.array([half[i] for i in above]).view(U))):
+                for lo in range(0, len(own) * bool(len(other)), 256):
+                    a = own[lo : lo + 256]
+                    ok = (root[a][:, None] != root[other][None]) & (5 * n[a][:, None] >= 4 * n[other][None]) & (5 * n[other][None] >= 4 * n[a][:, None])
+                    if across:
+                        ok &= side[a][:, None] != side[other][None]
+                    if other is own:
+                        ok &= a[:, None] < other[None]
+                    p, q = np.nonzero(ok)
+                    for cut in range(0, len(p), 1 << 16):
+                        u, v = p[cut : cut + (1 << 16)], q[cut : cut + (1 << 16)]
+                        differ = np.bitwise_count(x[lo + u] ^ y[v]).sum(axis=1, dtype=np.int64)
+                        good = n[a[u]] + n[other[v]] >= 9 * differ
+                        yield a[u[good]], other[v[good]]
+
+    def close(key: tuple | None, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len(rows) < 2:
+            return
+        d, t = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        for u, v in pairs(rows, key[1] != key[2]):
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(d[u]), pa.array(t[u]), pa.array(d[v]), pa.array(t[v])], ["d", "t", "d2", "t2"])
+
+    key, rows = None, []
+    for b in batches:
+        names = ("k", "i", "j", "d", "t", "side", "rd", "rt", "n", "octave", "wide", "half")
+        for k, i, j, d, t, side, rd, rt, n, octave, wide, half in zip(*[b.column(c).to_pylist() for c in names], strict=True):
+            if key != (k, i, j):
+                yield from close(key, rows)
+                key, rows = (k, i, j), []
+            rows.append((d, t, side, (rd, rt), n, octave, wide, half))
+    yield from close(key, rows)
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, signatures: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. rows: node, text of all documents."""
     sides = [signatures.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("octave").alias(f"o{s}"), F.col("wide").alias(f"w{s}"), F.col("half").alias(f"h{s}")) for s in ("a", "b")]
@@ -228,15 +281,21 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     compared = durable(near.where("kind = 'C'").select(*pair).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = durable(equal.unionByName(_verified(compared, rows, signatures)))
     roots = components(links)
-    members = near.where("kind = 'G'").select("k", F.struct("d", "t").alias("node"), "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = durable(members)
-    mixed = durable(members.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("k"))
-    open_tiles = durable(members.join(mixed, "k"))
-    x, y = (open_tiles.select("k", F.col("node").alias(s), F.col("root").alias(f"r{s}"), F.col("n").alias(f"n{s}")) for s in ("a", "b"))
-    across = x.join(y, "k").where("a < b and ra != rb and 5 * na >= 4 * nb and 5 * nb >= 4 * na").select("a", "b").distinct().join(compared, ["a", "b"], "left_anti")
+    members = near.where("kind = 'G'").select("k", F.struct("d", "t").alias("node")).join(roots, "node", "left")
+    members = durable(members.select("k", "node", F.coalesce("root", "node").alias("root")))
+    # Only tiles with more than one component go on.
+    mixed = durable(members.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("k", "n"))
+    open_tiles = members.join(mixed.select("k"), "k").join(signatures, "node").select("k", "node.d", "node.t", F.col("root.d").alias("rd"), F.col("root.t").alias("rt"), "n", "octave", "wide", "half")
+    across = dealt(open_tiles, mixed, "k", "t").mapInArrow(_across, "d bigint, t bigint, d2 bigint, t2 bigint").distinct()
+    across = across.select(*pair).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
     more = durable(_verified(durable(across), rows, signatures))
     if not more.isEmpty():
-        roots = components(links.unionByName(more))
+        # Only the components that meet are joined.
+        one, two = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
+        met = more.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        top = components(met).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        moved = roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        roots = durable(moved.unionByName(top.select(F.col("root").alias("node"), F.col("top").alias("root"))).distinct())
     return tiles.where("shard is null").select("d", "t", "n"), roots
 
 
