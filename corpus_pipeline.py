@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import exact_dedup, language, mixing
+from weftline.llm import exact_dedup, language, mixing, ngram_join, packing
 from weftline.llm.scratch import durable
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,11 +20,19 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.drop_near_duplicates(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES: list[tuple[str, Stage]] = [("language_id", language_id), ("exact_dedup", exact), ("mix_sources", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [("language_id", language_id), ("exact_dedup", exact), ("ngram_join", near), ("mix_sources", mix), ("best_fit_packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
