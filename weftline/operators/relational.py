@@ -24,9 +24,10 @@ def predicate(tree: tuple | Column) -> Column:
     """A Column from nested ("and", x, y, ...), ("or", x, y, ...), ("not", x) and (left, op, right)."""
     if isinstance(tree, Column):
         return tree
-    if tree[0] in ("and", "or"):
-        return reduce(Column.__and__ if tree[0] == "and" else Column.__or__, [predicate(x) for x in tree[1:]])
-    return ~predicate(tree[1]) if tree[0] == "not" else compare(*tree)
+    head = tree[0] if isinstance(tree[0], str) else None
+    if head in ("and", "or") and not (len(tree) == 3 and isinstance(tree[1], str)):
+        return reduce(Column.__and__ if head == "and" else Column.__or__, [predicate(x) for x in tree[1:]])
+    return ~predicate(tree[1]) if head == "not" and len(tree) == 2 else compare(*tree)
 
 
 def select(df: DataFrame, tree: tuple | Column) -> DataFrame:
@@ -85,10 +86,9 @@ def sim_join_l2(left: DataFrame, right: DataFrame, columns1: list[str], columns2
     a, b = sided(left, right)
     one = [F.col(f"{c}_1" if c in both else c) for c in columns1]
     two = [F.col(f"{c}_2" if c in both else c) for c in columns2]
-    a = a.withColumns({f"_g{i}": F.floor(c / most) for i, c in enumerate(one[:2])})
-    b = b.withColumns({f"_g{i}": F.explode(F.transform(F.array(*[F.lit(x) for x in (-1, 0, 1)]), lambda x, c=c: F.floor(c / most) + x)) for i, c in enumerate(two[:1])})
-    if len(two) > 1:
-        b = b.withColumn("_g1", F.explode(F.transform(F.array(*[F.lit(x) for x in (-1, 0, 1)]), lambda x: F.floor(two[1] / most) + x)))
+    near = lambda c: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda x: F.floor(c / most) + x))
+    for i, (x, y) in enumerate(list(zip(one, two, strict=True))[:2]):
+        a, b = a.withColumn(f"_g{i}", F.floor(x / most)), b.withColumn(f"_g{i}", near(y))
     keys = [f"_g{i}" for i in range(min(2, len(one)))]
     distance = F.sqrt(sum((F.pow(x - y, 2) for x, y in zip(one, two, strict=True)), F.lit(0.0)))
     return a.join(b, keys).drop(*keys).withColumn("distance", distance).where(F.col("distance") <= most)

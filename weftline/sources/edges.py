@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from weftline.functions.times import micros
+
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None, sep: str = "\t", header: bool = False, columns: list[str] | None = None) -> DataFrame:
     """A delimited text table; # starts a comment. Without a schema the types are inferred from all rows."""
@@ -120,17 +122,17 @@ def event_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     Days are ordered on their own; the last event of a day takes its successor from the first of the next day.
     """
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id")
-    day = F.floor(F.unix_micros("ts") / 86_400_000_000).cast("long")
-    rows = indexed(e, ["ts", "event_id"], day, "eid").withColumn("day", day)
+    day = F.floor(micros(e, "ts") / 86_400_000_000).cast("long")
+    rows = indexed(e, ["ts", "event_id"], day, "eid").withColumn("day", day).withColumn("micros", micros(e, "ts"))
     firsts = rows.groupBy("day").agg(F.min_by("user_id", "eid").alias("first"))
     following = firsts.withColumn("next_first", F.lead("first").over(Window.orderBy("day"))).drop("first")
     inside = F.lead("user_id").over(Window.partitionBy("day").orderBy("ts", "event_id"))
     out = rows.withColumn("dst", inside).join(following, "day").withColumn("dst", F.coalesce("dst", "next_first"))
-    return out.select("eid", F.col("user_id").alias("src"), "dst", F.floor(F.unix_micros("ts") / 1_000_000).cast("long").alias("t")).where("dst is not null and src != dst")
+    return out.select("eid", F.col("user_id").alias("src"), "dst", F.floor(F.col("micros") / 1_000_000).cast("long").alias("t")).where("dst is not null and src != dst")
 
 
 def order_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src (customer), dst (supplier, from 10**9), t (ship date in seconds)."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_shipdate")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 10**9).alias("dst"), F.floor(F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1_000_000).cast("long").alias("t"))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 10**9).alias("dst"), F.floor(micros(lines, "l_shipdate") / 1_000_000).cast("long").alias("t"))
