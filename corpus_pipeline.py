@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import exact_dedup, language, mixing, ngram_join, packing
-from weftline.llm.scratch import durable
+from weftline.llm.scratch import durable, small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return language.keep_identified(docs, language.learn(docs.where(~language.held_out())))
 
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: A block's document number fits into 12 bits, which leaves 52 bits of a hash in one sorted 64-bit word.
 BLOCK_DOCS = 4096
 U = np.uint64

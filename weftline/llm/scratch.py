@@ -24,6 +24,12 @@ def folder(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Arrow batches have so few rows that whole texts in both directions take little memory beside the heap."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df as written to a Parquet table in the shared folder and read back.
 
