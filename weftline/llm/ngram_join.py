@@ -156,16 +156,16 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     stands = np.flatnonzero(np.r_[True, ~same_set]) if len(key) else np.zeros(0, np.int64)
     rep = stands[np.cumsum(np.r_[True, ~same_set]) - 1] if len(key) else stands
     copy = np.flatnonzero(np.r_[False, same_set & ~same_doc])
-    # Sets are compared with the one before in the tile, and with the first of the tile that fits in a chain of sizes.
-    after = np.flatnonzero(np.r_[False, fits & ~same_set])
+    # A set is compared with the first of the tile that a chain of fitting sizes leads back to, or with the one before.
     head = np.flatnonzero(np.r_[True, ~fits]) if len(key) else stands
     lead = head[np.cumsum(np.r_[True, ~fits]) - 1] if len(key) else stands
-    far = after[(5 * n[lead[after]] >= 4 * n[after]) & (lead[after] != rep[after - 1])]
+    after = np.flatnonzero(np.r_[False, fits & ~same_set])
+    against = np.where(5 * n[lead[after]] >= 4 * n[after], lead[after], rep[after - 1])
     group = np.cumsum(np.r_[True, key[stands][1:] != key[stands][:-1]]) - 1 if len(stands) else stands
     large = stands[np.bincount(group)[group] >= 3] if len(stands) else stands
-    kind = np.repeat(["E", "C", "C", "G"], [len(copy), len(after), len(far), len(large)])
-    first = np.r_[rep[copy], rep[after - 1], lead[far], large]
-    second = np.r_[copy, after, far, large]
+    kind = np.repeat(["E", "C", "G"], [len(copy), len(after), len(large)])
+    first = np.r_[rep[copy], against, large]
+    second = np.r_[copy, after, large]
     table = np.empty(len(kind), [("kind", "U1"), ("k", np.int64), ("d", np.int64), ("t", np.int64), ("d2", np.int64), ("t2", np.int64), ("n", np.int64)])
     for name, x in (("kind", kind), ("k", np.r_[np.zeros(len(first) - len(large), np.int64), key[large].astype(np.int64)]), ("d", d[first]), ("t", t[first]), ("d2", d[second]), ("t2", t[second]), ("n", n[first])):
         table[name] = x
@@ -183,7 +183,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(b.column("text")):
             keys, n = shingles(block)
             ends = np.cumsum(n)
-            elements = [(keys[lo:hi] & _52).tobytes() for lo, hi in zip(ends - n, ends, strict=True)]
+            elements = [pack(np.diff(keys[lo:hi] & _52, prepend=U(0))) for lo, hi in zip(ends - n, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([node.slice(block.first, block.n), pa.array(elements, pa.binary())], ["node", "elements"])
 
 
@@ -191,7 +191,7 @@ def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         good = []
         for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+            x, y = (np.cumsum(unpack(e)[0], dtype=U) for e in (x, y))
             if len(x) > len(y):
                 x, y = y, x
             common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
@@ -231,9 +231,15 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         d, t = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
         for u, v in pairs(rows, key[1] != key[2]):
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(d[u]), pa.array(t[u]), pa.array(d[v]), pa.array(t[v])], ["d", "t", "d2", "t2"])
-
+            new = [x for x in zip(d[u].tolist(), t[u].tolist(), d[v].tolist(), t[v].tolist(), strict=True) if x not in passed]
+            if new:
+                if len(passed) > 200_000:
+                    passed.clear()
+                passed.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*new, strict=True)], ["d", "t", "d2", "t2"])
+
+    # A pair often shares many tiles; one that this task has just passed on is left out.
+    passed: set[tuple] = set()
     key, rows = None, []
     for b in batches:
         names = ("k", "i", "j", "d", "t", "side", "rd", "rt", "n", "octave", "wide", "half")
@@ -284,9 +290,9 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = near.where("kind = 'G'").select("k", F.struct("d", "t").alias("node")).join(roots, "node", "left")
     members = durable(members.select("k", "node", F.coalesce("root", "node").alias("root")))
     # Only tiles with more than one component go on.
-    mixed = durable(members.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("k", "n"))
-    open_tiles = members.join(mixed.select("k"), "k").join(signatures, "node").select("k", "node.d", "node.t", F.col("root.d").alias("rd"), F.col("root.t").alias("rt"), "n", "octave", "wide", "half")
-    across = dealt(open_tiles, mixed, "k", "t").mapInArrow(_across, "d bigint, t bigint, d2 bigint, t2 bigint").distinct()
+    mixed = durable(members.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("k", "lo", "n"))
+    open_tiles = members.join(mixed.select("k", "lo"), "k").join(signatures, "node").select("k", "lo", "node.d", "node.t", F.col("root.d").alias("rd"), F.col("root.t").alias("rt"), "n", "octave", "wide", "half")
+    across = dealt(open_tiles, mixed, "k", "t", near=[F.col("lo"), F.pmod("k", F.lit(4))]).mapInArrow(_across, "d bigint, t bigint, d2 bigint, t2 bigint").distinct()
     across = across.select(*pair).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
     more = durable(_verified(durable(across), rows, signatures))
     if not more.isEmpty():
