@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import cap_filters, exact_dedup, language, licenses, mixing, ngram_join, packing, quality, substring_dedup
+from weftline.llm import cap_filters, exact_dedup, language, licenses, mixing, ngram_join, packing, pitman_yor, quality, substring_dedup
 from weftline.llm.scratch import small_batches
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -25,6 +25,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     dictionaries = language.learn(docs.where(~language.held_out()))
