@@ -6,8 +6,9 @@ n - ceil(0.8 n) + 1 shingles of each, whatever total order the shingles have; th
 documents with one such shingle, by size; only sizes within a factor 0.8 meet. Of a pair, the bit counts of the two
 signatures bound the overlap from above, and only then the sorted arrays are intersected.
 
-All pairs of a tile are never made. First each document is compared with its neighbour in the tile; the links found
-give components, and only tiles with documents of different components go on, with the pairs between those. So the
+All pairs of a tile are never made. First each document is compared with one other of the tile, then with its neighbour
+by size where the links found so far leave the two apart; at last only tiles with documents of different components
+go on, with the pairs between those. So the
 components are those of all links, while a group of copies costs one comparison a copy.
 
 Scale: two passes over the texts for the sketch and the tiles, one for the documents of candidate pairs. Tiles are
@@ -16,11 +17,12 @@ dealt by shingle, in binary payloads; the number of shards grows with the number
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.blocks import Block, U, blocks, distinct, mix, pack, sharded, spans_hash, unpack
@@ -273,6 +275,28 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*_key()).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def _between_components(members: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Pairs a, b of different components that share a tile, are of fitting sizes and pass the bound of the bit counts.
+    members: k, node, root."""
+    # Only tiles with more than one component go on.
+    mixed = durable(members.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("k", "lo", "n"))
+    tiles = members.join(mixed.select("k", "lo"), "k").join(signatures, "node").select("k", "lo", "node.d", "node.t", F.col("root.d").alias("rd"), F.col("root.t").alias("rt"), "n", "octave", "wide", "half")
+    found = dealt(tiles, mixed, "k", "t", near=[F.col("lo"), F.pmod("k", F.lit(4))]).mapInArrow(_across, "d bigint, t bigint, d2 bigint, t2 bigint")
+    a, b = F.struct("d", "t"), F.struct(F.col("d2").alias("d"), F.col("t2").alias("t"))
+    return found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+
+
+def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """roots (node, root) after more links (a, b), by the components of the roots that meet."""
+    if more.isEmpty():
+        return roots
+    one, two = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
+    met = more.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    top = components(met).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return durable(moved.unionByName(top.select(F.col("root").alias("node"), F.col("top").alias("root"))).distinct())
+
+
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For docs (doc_id, text): members (d, t, n: one row per row of docs) and roots (node, root) of linked documents."""
     rows = _keyed(docs)
@@ -287,21 +311,19 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     compared = durable(near.where("kind = 'C'").select(*pair).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = durable(equal.unionByName(_verified(compared, rows, signatures)))
     roots = components(links)
-    members = near.where("kind = 'G'").select("k", F.struct("d", "t").alias("node")).join(roots, "node", "left")
-    members = durable(members.select("k", "node", F.coalesce("root", "node").alias("root")))
-    # Only tiles with more than one component go on.
-    mixed = durable(members.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("k", "lo", "n"))
-    open_tiles = members.join(mixed.select("k", "lo"), "k").join(signatures, "node").select("k", "lo", "node.d", "node.t", F.col("root.d").alias("rd"), F.col("root.t").alias("rt"), "n", "octave", "wide", "half")
-    across = dealt(open_tiles, mixed, "k", "t", near=[F.col("lo"), F.pmod("k", F.lit(4))]).mapInArrow(_across, "d bigint, t bigint, d2 bigint, t2 bigint").distinct()
-    across = across.select(*pair).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-    more = durable(_verified(durable(across), rows, signatures))
-    if not more.isEmpty():
-        # Only the components that meet are joined.
-        one, two = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
-        met = more.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        top = components(met).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        moved = roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        roots = durable(moved.unionByName(top.select(F.col("root").alias("node"), F.col("top").alias("root"))).distinct())
+    grouped = near.where("kind = 'G'").select("k", F.struct("d", "t").alias("node"), "n")
+    for last in (False, True):
+        members = grouped.join(roots, "node", "left").select("k", "node", "n", F.coalesce("root", "node").alias("root"))
+        if last:
+            found = _between_components(durable(members.drop("n")), signatures)
+        else:
+            # Neighbours by size in a tile: they join most of what the first comparisons left apart.
+            by_size = Window.partitionBy("k", F.floor(F.log("n") / math.log(1.25))).orderBy("n", "node")
+            with_next = members.select("node", "n", "root", F.lead(F.struct("node", "n", "root")).over(by_size).alias("next"))
+            found = with_next.where("root != next.root and 5 * n >= 4 * next.n").select(F.least("node", "next.node").alias("a"), F.greatest("node", "next.node").alias("b"))
+        pairs = durable(found.distinct().join(compared, ["a", "b"], "left_anti"))
+        compared = compared.unionByName(pairs)
+        roots = _joined(roots, durable(_verified(pairs, rows, signatures)))
     return tiles.where("shard is null").select("d", "t", "n"), roots
 
 
