@@ -84,8 +84,9 @@ def rarity(texts: DataFrame) -> tuple[np.ndarray, int]:
     return np.clip(np.floor(np.log2(np.maximum(counts, 1) / max(1.0, counts.mean()))), 0, 15).astype(np.uint8), int(counts.sum())
 
 
-def _signatures(keys: np.ndarray, n: np.ndarray) -> tuple[list[int], pa.Array, pa.Array]:
-    """For each set: the octave of its size, and the parities of its elements in 64 << octave buckets and in half as many."""
+def _signatures(keys: np.ndarray, n: np.ndarray) -> tuple[list[int], pa.Array]:
+    """For each set: the octave of its size, and the parities of its elements in 64 << octave buckets. The two halves of a
+    signature, folded, are that of half as many buckets."""
     octaves = [max(0, int(x - 1).bit_length() - 6) for x in n.tolist()]
     words = np.array([1 << o for o in octaves])
     starts = np.cumsum(words) - words
@@ -93,9 +94,7 @@ def _signatures(keys: np.ndarray, n: np.ndarray) -> tuple[list[int], pa.Array, p
     bucket = ((keys & _52) & ((words[doc] << 6) - 1).astype(U)).astype(np.int64)
     bits = np.bincount((starts[doc] << 6) + bucket, minlength=int(words.sum()) << 6) & 1
     wide = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
-    half = [x if len(x) == 1 else x[: len(x) // 2] ^ x[len(x) // 2 :] for x in np.split(wide, starts[1:])] if len(n) else []
-    kind = pa.list_(pa.int64())
-    return octaves, pa.ListArray.from_arrays(np.r_[starts, words.sum()].astype(np.int32), wide), pa.array(half, kind)
+    return octaves, pa.ListArray.from_arrays(np.r_[starts, words.sum()].astype(np.int32), wide)
 
 
 def _tiles(levels: np.ndarray, shards: int) -> Callable:
@@ -123,10 +122,10 @@ def _tiles(levels: np.ndarray, shards: int) -> Callable:
                     at = np.searchsorted(used, w)
                     shard.append(s)
                     payload.append(pack(own_d[used], own_t[used], n[used].astype(np.uint32), digest[used], key[order[lo:hi]], at.astype(np.uint16)))
-                octave, wide, half = _signatures(keys, n)
-                names = ["shard", "payload", "d", "t", "n", "octave", "wide", "half"]
-                yield pa.RecordBatch.from_arrays([pa.nulls(block.n, pa.int32()), pa.nulls(block.n, pa.binary()), pa.array(own_d), pa.array(own_t), pa.array(n), pa.array(octave, pa.int32()), wide, half], names)
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(payload, pa.binary()), *[pa.nulls(len(shard), x.type) for x in (pa.array(own_d), pa.array(own_t), pa.array(n), pa.array(octave, pa.int32()), wide, half)]], names)
+                octave, wide = _signatures(keys, n)
+                names = ["shard", "payload", "d", "t", "n", "octave", "wide"]
+                yield pa.RecordBatch.from_arrays([pa.nulls(block.n, pa.int32()), pa.nulls(block.n, pa.binary()), pa.array(own_d), pa.array(own_t), pa.array(n), pa.array(octave, pa.int32()), wide], names)
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(payload, pa.binary()), *[pa.nulls(len(shard), x.type) for x in (pa.array(own_d), pa.array(own_t), pa.array(n), pa.array(octave, pa.int32()), wide)]], names)
 
     return run
 
@@ -206,14 +205,15 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by tile: pairs of fitting sizes in different components whose signatures leave them possible."""
 
     def pairs(rows: list[tuple], across: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        side, root, n, octave, wide, half = (list(x) for x in list(zip(*rows, strict=True))[2:])
+        side, root, n, octave, wide = (list(x) for x in list(zip(*rows, strict=True))[2:])
         side, n, octave = np.array(side), np.array(n), np.array(octave)
         _, root = np.unique(np.array(root, [("d", np.int64), ("t", np.int64)]), return_inverse=True)
         for o in sorted(set(octave.tolist())):
             own = np.flatnonzero(octave == o)
             above = np.flatnonzero(octave == o + 1)
             x = np.array([wide[i] for i in own]).view(U)
-            for other, y in ((own, x), (above, np.array([half[i] for i in above]).view(U))):
+            y = np.array([wide[i] for i in above]).view(U)
+            for other, y in ((own, x), (above, y[:, : 1 << o] ^ y[:, 1 << o :] if len(above) else y)):
                 for lo in range(0, len(own) * bool(len(other)), 256):
                     a = own[lo : lo + 256]
                     ok = (root[a][:, None] != root[other][None]) & (5 * n[a][:, None] >= 4 * n[other][None]) & (5 * n[other][None] >= 4 * n[a][:, None])
@@ -244,20 +244,21 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     passed: set[tuple] = set()
     key, rows = None, []
     for b in batches:
-        names = ("k", "i", "j", "d", "t", "side", "rd", "rt", "n", "octave", "wide", "half")
-        for k, i, j, d, t, side, rd, rt, n, octave, wide, half in zip(*[b.column(c).to_pylist() for c in names], strict=True):
+        names = ("k", "i", "j", "d", "t", "side", "rd", "rt", "n", "octave", "wide")
+        for k, i, j, d, t, side, rd, rt, n, octave, wide in zip(*[b.column(c).to_pylist() for c in names], strict=True):
             if key != (k, i, j):
                 yield from close(key, rows)
                 key, rows = (k, i, j), []
-            rows.append((d, t, side, (rd, rt), n, octave, wide, half))
+            rows.append((d, t, side, (rd, rt), n, octave, wide))
     yield from close(key, rows)
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, signatures: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. rows: node, text of all documents."""
-    sides = [signatures.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("octave").alias(f"o{s}"), F.col("wide").alias(f"w{s}"), F.col("half").alias(f"h{s}")) for s in ("a", "b")]
+    sides = [signatures.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("octave").alias(f"o{s}"), F.col("wide").alias(f"w{s}")) for s in ("a", "b")]
     # The signatures of a pair in the width of the smaller octave; each differing bit is an element of one set alone.
-    differ = F.expr("aggregate(zip_with(if(oa <= ob, wa, ha), if(ob <= oa, wb, hb), (x, y) -> cast(bit_count(x ^ y) as long)), 0L, (s, x) -> s + x)")
+    half = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (x, y) -> x ^ y)"
+    differ = F.expr(f"aggregate(zip_with(if(oa <= ob, wa, {half.format('wa')}), if(ob <= oa, wb, {half.format('wb')}), (x, y) -> cast(bit_count(x ^ y) as long)), 0L, (s, x) -> s + x)")
     sized = (5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na")) & (F.abs(F.col("oa") - F.col("ob")) <= 1)
     bounded = durable(pairs.join(sides[0], "a").join(sides[1], "b").where(sized).where(F.col("na") + F.col("nb") >= 9 * differ).select("a", "b"))
     wanted = durable(bounded.select(F.col("a").alias("node")).unionByName(bounded.select(F.col("b").alias("node"))).distinct())
@@ -280,8 +281,8 @@ def _between_components(members: DataFrame, signatures: DataFrame) -> DataFrame:
     members: k, node, root."""
     # Only tiles with more than one component go on.
     mixed = durable(members.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("k", "lo", "n"))
-    tiles = members.join(mixed.select("k", "lo"), "k").join(signatures, "node").select("k", "lo", "node.d", "node.t", F.col("root.d").alias("rd"), F.col("root.t").alias("rt"), "n", "octave", "wide", "half")
-    found = dealt(tiles, mixed, "k", "t", near=[F.col("lo"), F.pmod("k", F.lit(4))]).mapInArrow(_across, "d bigint, t bigint, d2 bigint, t2 bigint")
+    tiles = members.join(mixed.select("k", "lo"), "k").join(signatures, "node").select("k", "lo", "node.d", "node.t", F.col("root.d").alias("rd"), F.col("root.t").alias("rt"), "n", "octave", "wide")
+    found = dealt(tiles, mixed, "k", "t", near=[F.col("lo"), F.pmod("k", F.lit(2))]).mapInArrow(_across, "d bigint, t bigint, d2 bigint, t2 bigint")
     a, b = F.struct("d", "t"), F.struct(F.col("d2").alias("d"), F.col("t2").alias("t"))
     return found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
@@ -302,8 +303,8 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _keyed(docs)
     levels, total = rarity(rows.select("text"))
     shards = max(4, -(-total // SHARD_SHINGLES))
-    tiles = durable(rows.select("node.d", "node.t", "text").mapInArrow(_tiles(levels, shards), "shard int, payload binary, d bigint, t bigint, n bigint, octave int, wide array<bigint>, half array<bigint>"))
-    signatures = tiles.where("shard is null").select(F.struct("d", "t").alias("node"), "n", "octave", "wide", "half").dropDuplicates(["node"])
+    tiles = durable(rows.select("node.d", "node.t", "text").mapInArrow(_tiles(levels, shards), "shard int, payload binary, d bigint, t bigint, n bigint, octave int, wide array<bigint>"))
+    signatures = tiles.where("shard is null").select(F.struct("d", "t").alias("node"), "n", "octave", "wide").dropDuplicates(["node"])
     near = tiles.where("shard is not null").select("shard", "payload").repartitionById(shards, "shard").mapInArrow(_neighbours, "kind string, k bigint, d bigint, t bigint, d2 bigint, t2 bigint, n bigint")
     near = durable(near)
     pair = [F.struct("d", "t").alias("a"), F.struct(F.col("d2").alias("d"), F.col("t2").alias("t")).alias("b")]
