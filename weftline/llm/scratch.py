@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Tables of fixed-size rows up to this size are broadcast.
 SMALL_BYTES = 8 << 20
+#: The tables of the pipeline's current stage, once there is one.
+_noted: list[list[str]] = []
 _own: dict[str, str] = {}
 
 
@@ -30,7 +32,30 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def durable(df: DataFrame) -> DataFrame:
+def begin_stages() -> None:
+    """From now on tables are noted, for next_stage()."""
+    _noted[:] = [[]]
+
+
+def next_stage(spark: SparkSession) -> None:
+    """Delete the tables noted since the last stage began, whose result has been written by now."""
+    if _noted:
+        for path in _noted[0]:
+            _delete(spark, path)
+        _noted[0].clear()
+
+
+def end_stages() -> None:
+    """No more tables are noted; those of the last stage stay until release()."""
+    _noted.clear()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def durable(df: DataFrame, noted: bool = True) -> DataFrame:
     """df as written to a Parquet table in the shared folder and read back.
 
     Lost executors cost no lineage, and values such as monotonically_increasing_id() are fixed from then on.
@@ -38,6 +63,8 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/weftline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if noted and _noted:
+        _noted[0].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -50,6 +77,4 @@ def small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Delete every table that durable() wrote in this application; frames made from them can't be read afterwards."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/weftline-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{folder(spark)}/weftline-{spark.sparkContext.applicationId}")
