@@ -1,14 +1,14 @@
 import corpus_pipeline
-from weftline.llm.scratch import durable
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages_keep_columns_and_work_on_their_input(spark):
+def test_stages_keep_columns_and_work_on_their_input(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, counts = docs.columns, [docs.count()]
     for name, stage in corpus_pipeline.STAGES:
-        docs = durable(stage(spark, docs, SF))
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
         counts.append(docs.count())
         if name != "best_fit_packing":
             assert docs.columns == columns
