@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from weftline.llm import cap_filters, exact_dedup, language, licenses, mixing, ngram_join, packing, pitman_yor, quality, substring_dedup
+from weftline.llm import cap_filters, components as stars, exact_dedup, language, licenses, mixing, ngram_join, packing, pitman_yor, quality, substring_dedup
 from weftline.llm.blocks import blocks, pack, unpack
 from weftline.llm.components import components
 
@@ -242,3 +242,16 @@ def test_blocks_and_payloads():
     assert b.hashes[-1] == b.hashes[-2] == b.hashes[-3]
     for x, y in zip(unpack(pack(np.arange(5, dtype=np.uint16), np.zeros(0), np.array([1.5]))), ([0, 1, 2, 3, 4], [], [1.5]), strict=True):
         assert x.tolist() == y
+
+
+@pytest.mark.parametrize("task_edges", [10_000, 20])
+def test_components_match_union_find(spark, monkeypatch, task_edges):
+    monkeypatch.setattr(stars, "TASK_EDGES", task_edges)
+    edges = [(x * 37 % 101, x * 53 % 97) for x in range(60)] + [(200 + x, 201 + x) for x in range(30)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    found = components(spark.createDataFrame(edges, "a long, b long"))
+    assert {tuple(r) for r in found.collect()} == {(x, root[x]) for x in linked}

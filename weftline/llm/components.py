@@ -2,20 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.scratch import durable
 
+#: Edges that a task joins in memory, on average, before the stars.
+TASK_EDGES = 100_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's edges: each node but the smallest of its component, with the smallest. Nodes must not hold nulls."""
+    parent: dict = {}
+
+    def top(x):
+        root = x
+        while parent[root] != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    kind = None
+    for b in batches:
+        kind = b.column("v").type
+        for v, m in zip(*[_values(b.column(c)) for c in ("v", "m")], strict=True):
+            x, y = top(parent.setdefault(v, v)), top(parent.setdefault(m, m))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = [x for x in parent if parent[x] != x]
+    for lo in range(0, len(nodes), 10_000):
+        some = nodes[lo : lo + 10_000]
+        columns = [[dict(zip((f.name for f in kind), x, strict=True)) for x in c] if pa.types.is_struct(kind) else c for c in (some, [top(x) for x in some])]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in columns], ["v", "m"])
+
+
+def _values(column: pa.Array) -> list:
+    """Structs as tuples, which are ordered alike."""
+    return list(zip(*[x.to_pylist() for x in column.flatten()], strict=True)) if pa.types.is_struct(column.type) else column.to_pylist()
+
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges: a, b (any orderable type, struct or number). Returns node, root: the smallest node it can reach.
 
-    Nodes without edges don't occur in the result. Each round is two aggregations with map-side minima and two joins,
+    Nodes without edges don't occur in the result. Tasks first join about TASK_EDGES edges each in memory, which leaves
+    a forest of stars; one task's are final. Each round then is two aggregations with map-side minima and two joins,
     written to the shared folder; paths shrink by half or more in a round. No node reaches the driver.
     """
     stars = durable(edges.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct())
+    tasks = max(1, -(-stars.count() // TASK_EDGES))
+    stars = durable(stars.coalesce(tasks).mapInArrow(_forest, stars.schema))
     for _ in range(max_rounds):
+        if tasks == 1:
+            break
         both = stars.select(F.col("v").alias("u"), F.col("m").alias("x")).unionByName(stars.select(F.col("m").alias("u"), F.col("v").alias("x")))
         low = durable(both.groupBy("u").agg(F.min("x").alias("low")))
         # Large star: every larger neighbour of u goes to the smallest node around u.
