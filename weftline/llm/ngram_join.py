@@ -280,7 +280,10 @@ def _between_components(members: DataFrame, signatures: DataFrame) -> DataFrame:
     """Pairs a, b of different components that share a tile, are of fitting sizes and pass the bound of the bit counts.
     members: k, node, root."""
     # Only tiles with more than one component go on.
-    mixed = durable(members.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("k", "lo", "n"))
+    whose = [F.xxhash64("node"), F.xxhash64(F.lit(1), "node")]
+    tiles = members.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(whose[0]).alias("x"), F.bit_xor(whose[1]).alias("y"))
+    # Tiles of the same documents have the same pairs; one of them is enough.
+    mixed = durable(tiles.where("lo != hi").groupBy("lo", "n", "x", "y").agg(F.min("k").alias("k")).select("k", "lo", "n"))
     tiles = members.join(mixed.select("k", "lo"), "k").join(signatures, "node").select("k", "lo", "node.d", "node.t", F.col("root.d").alias("rd"), F.col("root.t").alias("rt"), "n", "octave", "wide")
     found = dealt(tiles, mixed, "k", "t", near=[F.col("lo"), F.pmod("k", F.lit(2))]).mapInArrow(_across, "d bigint, t bigint, d2 bigint, t2 bigint")
     a, b = F.struct("d", "t"), F.struct(F.col("d2").alias("d"), F.col("t2").alias("t"))
