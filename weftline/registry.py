@@ -215,6 +215,21 @@ def join_threshold_per_key(spark, sf_dir):
     return R.threshold_join(x, "o_custkey", "l_suppkey", x, "o_custkey", "l_suppkey", 12, per_value=True)
 
 
+# The SQL of the two above joins a seventh of the customers; these join all of them.
+
+
+@_query()
+def join_threshold_all(spark, sf_dir):
+    x = _lines(spark, sf_dir)
+    return R.threshold_join(x, "o_custkey", "l_suppkey", x, "o_custkey", "l_suppkey", 60)
+
+
+@_query()
+def join_threshold_per_key_all(spark, sf_dir):
+    x = _lines(spark, sf_dir)
+    return R.threshold_join(x, "o_custkey", "l_suppkey", x, "o_custkey", "l_suppkey", 12, per_value=True)
+
+
 @_query("select a.s_suppkey as a, b.c_custkey as b from supplier a join customer b on sqrt((a.s_acctbal - b.c_acctbal) ** 2 + (a.s_nationkey - b.c_nationkey) ** 2) <= 25.0")
 def join_sim_l2(spark, sf_dir):
     return R.sim_join_l2(_t(spark, sf_dir, "supplier"), _t(spark, sf_dir, "customer"), ["s_acctbal", "s_nationkey"], ["c_acctbal", "c_nationkey"], 25.0).select(F.col("s_suppkey").alias("a"), F.col("c_custkey").alias("b"))
@@ -577,6 +592,12 @@ def knn_jaccard(spark, sf_dir):
     return G.knn_jaccard(e, 3).select("a", "b", r6("similarity").alias("similarity"))
 
 
+@_query()
+def knn_jaccard_all(spark, sf_dir):
+    """Of all sources; the SQL of knn_jaccard takes a fifth of them."""
+    return G.knn_jaccard(order_graph(spark, sf_dir).select("src", "dst"), 3).select("a", "b", r6("similarity").alias("similarity"))
+
+
 _BFS = f"{_TWICE}, b as (select 1::bigint as id, 0 as dist union select p.dst, dist + 1 from b join p on b.id = p.src where dist < 12)"
 
 
