@@ -240,18 +240,26 @@ def directed_triangles(edges: DataFrame) -> DataFrame:
 # Paths
 
 
-def bfs(edges: DataFrame, sources: DataFrame, directed: bool = True, most: int = 1000) -> DataFrame:
-    """source, id, dist, parent for each source (id) and each node it reaches; the parent is the smallest possible."""
+def _unfinished(what: str, most: int) -> RuntimeError:
+    return RuntimeError(f"{what} did not end within {most} rounds")
+
+
+def bfs(edges: DataFrame, sources: DataFrame, directed: bool = True, hops: int | None = None, most: int = 100_000) -> DataFrame:
+    """source, id, dist, parent for each source (id) and each node it reaches, within hops where given; the parent is the
+    smallest possible. An error is raised if nodes are left after most rounds."""
     e = edges.select("src", "dst").where("src != dst").distinct() if directed else symmetric(edges)
     e = cut_lineage(e)
     front = cut_lineage(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("dist"), F.lit(None).cast("long").alias("parent")))
     seen = front
-    for d in range(1, most + 1):
+    for d in range(1, (most if hops is None else hops) + 1):
         new = front.select("source", F.col("id").alias("src")).join(e, "src").groupBy("source", F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         front = cut_lineage(new.join(seen, ["source", "id"], "left_anti").select("source", "id", F.lit(d).alias("dist"), "parent"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+    else:
+        if hops is None:
+            raise _unfinished("bfs", most)
     return seen
 
 
@@ -300,7 +308,7 @@ def effective_diameter(edges: DataFrame, share: float = 0.9, sample: int | None
     return 0.0
 
 
-def weighted_distances(edges: DataFrame, source: int, weight: str, most: int = 1000) -> DataFrame:
+def weighted_distances(edges: DataFrame, source: int, weight: str, most: int = 100_000) -> DataFrame:
     """id and the least total weight from the source over directed edges, by relaxation."""
     dist = cut_lineage(edges.sparkSession.createDataFrame([(source, 0.0)], "id long, dist double"))
     front = dist
@@ -310,13 +318,15 @@ def weighted_distances(edges: DataFrame, source: int, weight: str, most: int = 1
         if front.isEmpty():
             break
         dist = cut_lineage(dist.join(front.select("id"), "id", "left_anti").unionByName(front))
+    else:
+        raise _unfinished("weighted_distances", most)
     return dist
 
 
 # Components and cores
 
 
-def weak_components(edges: DataFrame, most: int = 100) -> DataFrame:
+def weak_components(edges: DataFrame, most: int = 100_000) -> DataFrame:
     """id and the smallest id of its component: labels fall along edges and jump to the label's label."""
     e = cut_lineage(symmetric(edges))
     label = cut_lineage(nodes_of(edges).select("id", F.col("id").alias("root")))
@@ -329,6 +339,8 @@ def weak_components(edges: DataFrame, most: int = 100) -> DataFrame:
         label = jump.select("id", "root")
         if jump.where("root != old").isEmpty():
             break
+    else:
+        raise _unfinished("weak_components", most)
     return label
 
 
@@ -346,10 +358,12 @@ def _reach_low(e: DataFrame, label: DataFrame, frm: str, to: str, same: DataFram
         label = new.select("id", "l")
         if new.where("moved").isEmpty():
             break
+    else:
+        raise _unfinished("strong_components", most)
     return label
 
 
-def strong_components(edges: DataFrame, most: int = 1000) -> DataFrame:
+def strong_components(edges: DataFrame, most: int = 100_000) -> DataFrame:
     """id and root: nodes that reach each other. In each round the smallest id that reaches a node colours it, and of a
     colour those that also reach its origin are a component and go."""
     e = cut_lineage(edges.select("src", "dst").where("src != dst").distinct())

@@ -494,6 +494,22 @@ def _graph(spark, sf_dir):
     return event_graph(spark, sf_dir).select("src", "dst")
 
 
+def _pairs(spark, sf_dir):
+    """Every distinct pair of the event graph."""
+    return _graph(spark, sf_dir).distinct()
+
+
+def _on_pairs(sql: str):
+    """Adds f(edges) as NAME over the sparser graph that the SQL has, and as NAME_all, without SQL, over every pair."""
+
+    def add(f):
+        _query(sql, f.__name__)(lambda spark, sf_dir: f(_twice(spark, sf_dir)))
+        _query(name=f"{f.__name__}_all")(lambda spark, sf_dir: f(_pairs(spark, sf_dir)))
+        return f
+
+    return add
+
+
 #: A sparser graph for patterns: pairs with two events or more.
 _TWICE = f"{_G}, p as materialized (select src, dst from g group by all having count(*) >= 2), q as materialized (select src, dst from p union select dst, src from p)"
 
@@ -527,60 +543,58 @@ def degree_centrality(spark, sf_dir):
     return G.degree_centrality(_graph(spark, sf_dir)).select("id", r6("centrality").alias("centrality"))
 
 
-@_query(f"{_TWICE}, n as (select 1::bigint as id union select dst from p where src = 1 union select src from p where dst = 1) select src, dst from p where src in (select id from n) and dst in (select id from n)")
-def egonet(spark, sf_dir):
-    return G.egonet(_twice(spark, sf_dir), 1)[0]
+@_on_pairs(f"{_TWICE}, n as (select 1::bigint as id union select dst from p where src = 1 union select src from p where dst = 1) select src, dst from p where src in (select id from n) and dst in (select id from n)")
+def egonet(e):
+    return G.egonet(e, 1)[0]
 
 
-@_query(f"{_TWICE} select src, dst from p where src % 2 = 0 and dst % 2 = 0")
-def subgraph(spark, sf_dir):
-    e = _twice(spark, sf_dir)
+@_on_pairs(f"{_TWICE} select src, dst from p where src % 2 = 0 and dst % 2 = 0")
+def subgraph(e):
     return G.induced(e, G.nodes_of(e).where("id % 2 = 0"))
 
 
-@_query(f"{_TWICE}, m as (select count(*) as m2 from q), s as (select src % 3 as part, sum((src % 3 = dst % 3)::int)::bigint as inside, count(*) as degree from q group by 1) select part, inside, degree, round((inside - degree * degree / m2) / m2, 6) as modularity from s, m")
-def modularity_of_partition(spark, sf_dir):
-    e = _twice(spark, sf_dir)
+@_on_pairs(f"{_TWICE}, m as (select count(*) as m2 from q), s as (select src % 3 as part, sum((src % 3 = dst % 3)::int)::bigint as inside, count(*) as degree from q group by 1) select part, inside, degree, round((inside - degree * degree / m2) / m2, 6) as modularity from s, m")
+def modularity_of_partition(e):
     parts = G.nodes_of(e).withColumn("part", F.col("id") % 3)
     return G.modularity(e, parts).withColumn("modularity", r6("modularity"))
 
 
-@_query(f"{_TWICE} select count(*) as triangles from q a join q b on a.dst = b.src join q c on b.dst = c.src and c.dst = a.src where a.src < a.dst and a.dst < b.dst")
-def triangle_count(spark, sf_dir):
-    return G.triangle_count(_twice(spark, sf_dir))
+@_on_pairs(f"{_TWICE} select count(*) as triangles from q a join q b on a.dst = b.src join q c on b.dst = c.src and c.dst = a.src where a.src < a.dst and a.dst < b.dst")
+def triangle_count(e):
+    return G.triangle_count(e)
 
 
 _TRIADS = f"{_TWICE}, w as (select a.src as id, exists (select 1 from q c where c.src = a.dst and c.dst = b.dst) as closed from q a join q b on a.src = b.src and a.dst < b.dst), t as (select n.id, coalesce(sum(closed::int), 0)::bigint as closed, coalesce(sum(1 - closed::int), 0)::bigint as open from (select distinct src as id from q) n left join w on n.id = w.id group by 1)"
 
 
-@_query(f"{_TRIADS} select id, closed, open from t")
-def node_triads(spark, sf_dir):
-    return G.node_triads(_twice(spark, sf_dir)).select("id", F.col("closed").cast("long").alias("closed"), "open")
+@_on_pairs(f"{_TRIADS} select id, closed, open from t")
+def node_triads(e):
+    return G.node_triads(e).select("id", F.col("closed").cast("long").alias("closed"), "open")
 
 
-@_query(f"{_TRIADS} select id, round(case when closed + open > 0 then closed / (closed + open) else 0 end, 6) as cc from t")
-def clustering_coeff(spark, sf_dir):
-    return G.clustering(_twice(spark, sf_dir)).select("id", r6("cc").alias("cc"))
+@_on_pairs(f"{_TRIADS} select id, round(case when closed + open > 0 then closed / (closed + open) else 0 end, 6) as cc from t")
+def clustering_coeff(e):
+    return G.clustering(e).select("id", r6("cc").alias("cc"))
 
 
-@_query(f"{_TWICE} select a.dst as a, b.dst as b, count(*) as common from q a join q b on a.src = b.src and a.dst < b.dst group by 1, 2")
-def common_neighbors(spark, sf_dir):
-    return G.common_neighbors(_twice(spark, sf_dir))
+@_on_pairs(f"{_TWICE} select a.dst as a, b.dst as b, count(*) as common from q a join q b on a.src = b.src and a.dst < b.dst group by 1, 2")
+def common_neighbors(e):
+    return G.common_neighbors(e)
 
 
-@_query(f"{_TWICE}, d as (select src, count(*) as d from q group by 1), s as (select q.src, dst, 1 / d as p from q join d on q.src = d.src), i as (select a.src, b.dst, sum(a.p * b.p) as i from s a join s b on a.dst = b.src where a.src <> b.dst group by all) select s.src as id, round(sum((p + coalesce(i, 0)) ** 2), 6) as constr from s left join i on s.src = i.src and s.dst = i.dst group by 1")
-def network_constraint(spark, sf_dir):
-    return G.network_constraint(_twice(spark, sf_dir)).select("id", r6("constraint").alias("constr"))
+@_on_pairs(f"{_TWICE}, d as (select src, count(*) as d from q group by 1), s as (select q.src, dst, 1 / d as p from q join d on q.src = d.src), i as (select a.src, b.dst, sum(a.p * b.p) as i from s a join s b on a.dst = b.src where a.src <> b.dst group by all) select s.src as id, round(sum((p + coalesce(i, 0)) ** 2), 6) as constr from s left join i on s.src = i.src and s.dst = i.dst group by 1")
+def network_constraint(e):
+    return G.network_constraint(e).select("id", r6("constraint").alias("constr"))
 
 
-@_query(f"{_TWICE}, w as (select a.src as b, a.dst as a, c.dst as c from q a join q c on a.src = c.src where a.dst < c.dst and a.dst < a.src) select count(*) as squares from w x join w y on x.a = y.a and x.c = y.c where x.b < y.b")
-def squares(spark, sf_dir):
-    return G.squares(_twice(spark, sf_dir)).agg(F.count(F.lit(1)).alias("squares"))
+@_on_pairs(f"{_TWICE}, w as (select a.src as b, a.dst as a, c.dst as c from q a join q c on a.src = c.src where a.dst < c.dst and a.dst < a.src) select count(*) as squares from w x join w y on x.a = y.a and x.c = y.c where x.b < y.b")
+def squares(e):
+    return G.squares(e).agg(F.count(F.lit(1)).alias("squares"))
 
 
-@_query(f"{_TWICE} select x.src as a, x.dst as b, y.dst as c from p x join p y on x.dst = y.src join p z on y.dst = z.src and z.dst = x.src where x.src < x.dst and x.src < y.dst")
-def directed_triangles(spark, sf_dir):
-    return G.directed_triangles(_twice(spark, sf_dir))
+@_on_pairs(f"{_TWICE} select x.src as a, x.dst as b, y.dst as c from p x join p y on x.dst = y.src join p z on y.dst = z.src and z.dst = x.src where x.src < x.dst and x.src < y.dst")
+def directed_triangles(e):
+    return G.directed_triangles(e)
 
 
 _ORDERS = "with g as materialized (select distinct o_custkey as src, l_suppkey as dst from lineitem join orders on l_orderkey = o_orderkey where o_custkey % 5 = 0)"
@@ -603,35 +617,40 @@ _BFS = f"{_TWICE}, b as (select 1::bigint as id, 0 as dist union select p.dst, d
 
 @_query(f"{_BFS} select id, min(dist) as dist from b group by 1")
 def bfs_distance(spark, sf_dir):
-    return G.bfs(_twice(spark, sf_dir), spark.createDataFrame([(1,)], "id long"), most=12).select("id", "dist")
+    return G.bfs(_twice(spark, sf_dir), spark.createDataFrame([(1,)], "id long"), hops=12).select("id", "dist")
+
+
+@_query()
+def bfs_distance_all(spark, sf_dir):
+    return G.bfs(_pairs(spark, sf_dir), spark.createDataFrame([(1,)], "id long")).select("id", "dist")
 
 
 _ALL = f"{_TWICE}, b as (select src as s, src as id, 0 as dist from (select distinct src from q) union select s, q.dst, dist + 1 from b join q on b.id = q.src where dist < 9), d as (select s, id, min(dist) as dist from b group by 1, 2)"
 
 
-@_query(f"{_ALL} select s as id, max(dist) as eccentricity from d group by 1")
-def eccentricity(spark, sf_dir):
-    return G.eccentricity(_twice(spark, sf_dir))
+@_on_pairs(f"{_ALL} select s as id, max(dist) as eccentricity from d group by 1")
+def eccentricity(e):
+    return G.eccentricity(e)
 
 
-@_query(f"{_ALL}, f as (select s as id, sum(dist) as t, count(*) as r from d group by 1) select id, round(case when r > 1 then t / (r - 1) * ((select count(distinct src) from q) - 1) / (r - 1) else 0 end, 6) as farness from f")
-def closeness(spark, sf_dir):
-    return G.closeness(_twice(spark, sf_dir)).select("id", r6("farness").alias("farness"))
+@_on_pairs(f"{_ALL}, f as (select s as id, sum(dist) as t, count(*) as r from d group by 1) select id, round(case when r > 1 then t / (r - 1) * ((select count(distinct src) from q) - 1) / (r - 1) else 0 end, 6) as farness from f")
+def closeness(e):
+    return G.closeness(e).select("id", r6("farness").alias("farness"))
 
 
-@_query(f"{_ALL} select dist, count(*) as n from d group by 1")
-def distance_distribution(spark, sf_dir):
-    return G.distance_distribution(_twice(spark, sf_dir))
+@_on_pairs(f"{_ALL} select dist, count(*) as n from d group by 1")
+def distance_distribution(e):
+    return G.distance_distribution(e)
 
 
-@_query(f"{_TWICE}, b as (select src as id, src as root from q union select q.dst, root from b join q on b.id = q.src) select id, min(root) as root from b group by 1")
-def wcc(spark, sf_dir):
-    return G.weak_components(_twice(spark, sf_dir))
+@_on_pairs(f"{_TWICE}, b as (select src as id, src as root from q union select q.dst, root from b join q on b.id = q.src) select id, min(root) as root from b group by 1")
+def wcc(e):
+    return G.weak_components(e)
 
 
-@_query(f"{_TWICE}, b as (select src as id, src as x from (select src from p union select dst from p) union select b.id, p.dst from b join p on b.x = p.src) select b.id, min(b.x) as root from b join b c on b.id = c.x and b.x = c.id group by 1")
-def scc(spark, sf_dir):
-    return G.strong_components(_twice(spark, sf_dir))
+@_on_pairs(f"{_TWICE}, b as (select src as id, src as x from (select src from p union select dst from p) union select b.id, p.dst from b join p on b.x = p.src) select b.id, min(b.x) as root from b join b c on b.id = c.x and b.x = c.id group by 1")
+def scc(e):
+    return G.strong_components(e)
 
 
 def _core_sql(k: int, rounds: int) -> str:
@@ -642,9 +661,9 @@ def _core_sql(k: int, rounds: int) -> str:
     return f"{text} select src as a, dst as b from {last} where src < dst"
 
 
-@_query(_core_sql(3, 14))
-def kcore_3(spark, sf_dir):
-    return G.k_core(_twice(spark, sf_dir), 3)
+@_on_pairs(_core_sql(3, 14))
+def kcore_3(e):
+    return G.k_core(e, 3)
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -654,9 +673,9 @@ def _pagerank_sql(rounds: int) -> str:
     return f"{text} select id, round(r, 6) as rank from r{rounds}"
 
 
-@_query(_pagerank_sql(10))
-def pagerank_10(spark, sf_dir):
-    return G.pagerank(_twice(spark, sf_dir), 10, tolerance=0.0).select("id", r6("rank").alias("rank"))
+@_on_pairs(_pagerank_sql(10))
+def pagerank_10(e):
+    return G.pagerank(e, 10, tolerance=0.0).select("id", r6("rank").alias("rank"))
 
 
 def _hits_sql(rounds: int) -> str:
@@ -666,34 +685,34 @@ def _hits_sql(rounds: int) -> str:
     return f"{text} select h.id, round(h, 6) as hub, round(a, 6) as authority from h{rounds} h join a{rounds} a on h.id = a.id"
 
 
-@_query(_hits_sql(5))
-def hits_5(spark, sf_dir):
-    return G.hits(_twice(spark, sf_dir), 5).select("id", r6("hub").alias("hub"), r6("authority").alias("authority"))
+@_on_pairs(_hits_sql(5))
+def hits_5(e):
+    return G.hits(e, 5).select("id", r6("hub").alias("hub"), r6("authority").alias("authority"))
 
 
 @_query()
 def eigenvector(spark, sf_dir):
-    return G.eigenvector(_twice(spark, sf_dir), 20)
+    return G.eigenvector(_pairs(spark, sf_dir), 20)
 
 
 @_query()
 def personal_pagerank(spark, sf_dir):
-    return G.pagerank(_twice(spark, sf_dir), 10, reset=1)
+    return G.pagerank(_pairs(spark, sf_dir), 10, reset=1)
 
 
 @_query()
 def weighted_distance(spark, sf_dir):
-    return G.weighted_distances(_twice(spark, sf_dir).withColumn("w", (F.col("dst") % 5 + 1).cast("double")), 1, "w")
+    return G.weighted_distances(_pairs(spark, sf_dir).withColumn("w", (F.col("dst") % 5 + 1).cast("double")), 1, "w")
 
 
 @_query()
 def core_periphery(spark, sf_dir):
-    return G.core_periphery(_twice(spark, sf_dir))
+    return G.core_periphery(_pairs(spark, sf_dir))
 
 
 @_query()
 def betweenness(spark, sf_dir):
-    return S.betweenness_table(_twice(spark, sf_dir))
+    return S.betweenness_table(_pairs(spark, sf_dir))
 
 
 @_query()
@@ -703,7 +722,7 @@ def top_cascades(spark, sf_dir):
 
 @_query()
 def graph_statistics(spark, sf_dir):
-    return G.statistics(_twice(spark, sf_dir))
+    return G.statistics(_pairs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
