@@ -4,49 +4,71 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.blocks import returning
 from weftline.llm.scratch import durable
 
 #: Edges that a task joins in memory, on average, before the stars.
 TASK_EDGES = 100_000
 
 
+@returning
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's edges: each node but the smallest of its component, with the smallest. Nodes must not hold nulls."""
-    parent: dict = {}
-
-    def top(x):
-        root = x
-        while parent[root] != root:
-            root = parent[root]
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
-
-    kind = None
+    """Of a task's edges: each node but the smallest of its component, with the smallest. Nodes are longs or structs of
+    longs, without nulls."""
+    kind, parts = None, []
     for b in batches:
         kind = b.column("v").type
-        for v, m in zip(*[_values(b.column(c)) for c in ("v", "m")], strict=True):
-            x, y = top(parent.setdefault(v, v)), top(parent.setdefault(m, m))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    nodes = [x for x in parent if parent[x] != x]
-    for lo in range(0, len(nodes), 10_000):
-        some = nodes[lo : lo + 10_000]
-        columns = [[dict(zip((f.name for f in kind), x, strict=True)) for x in c] if pa.types.is_struct(kind) else c for c in (some, [top(x) for x in some])]
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in columns], ["v", "m"])
+        parts.append([_longs(b.column(c)) for c in ("v", "m")])
+    if kind is None:
+        return
+    both = np.concatenate([np.concatenate(x) for x in zip(*parts, strict=True)])
+    del parts
+    nodes, at = _numbered(both)
+    v, m = at[: len(at) // 2], at[len(at) // 2 :]
+    root = np.arange(len(nodes))
+    while True:  # numbers follow the order of the nodes, so the smallest number is the smallest node
+        low = root.copy()
+        np.minimum.at(low, root[v], root[m])
+        np.minimum.at(low, root[m], root[v])
+        low = low[low[root]]
+        if (low == root).all():
+            break
+        root = low
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    for lo in range(0, len(moved), 50_000):
+        some = moved[lo : lo + 50_000]
+        yield pa.RecordBatch.from_arrays([_column(nodes[some], kind), _column(nodes[root[some]], kind)], ["v", "m"])
+
+
+def _longs(column: pa.Array) -> np.ndarray:
+    """One row of longs per node."""
+    fields = column.flatten() if pa.types.is_struct(column.type) else [column]
+    return np.stack([x.to_numpy() for x in fields], axis=1)
+
+
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows in order, and the number of each row among them."""
+    order = np.lexsort(x.T[::-1])
+    ranked = x[order]
+    new = np.r_[True, (ranked[1:] != ranked[:-1]).any(axis=1)]
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ranked[new], at
 
 
-def _values(column: pa.Array) -> list:
-    """Structs as tuples, which are ordered alike."""
-    return list(zip(*[x.to_pylist() for x in column.flatten()], strict=True)) if pa.types.is_struct(column.type) else column.to_pylist()
+def _column(x: np.ndarray, kind: pa.DataType) -> pa.Array:
+    if not pa.types.is_struct(kind):
+        return pa.array(x[:, 0], kind)
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for i in range(kind.num_fields)], fields=list(kind))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """edges: a, b (any orderable type, struct or number). Returns node, root: the smallest node it can reach.
+    """edges: a, b (longs or structs of longs). Returns node, root: the smallest node it can reach.
 
     Nodes without edges don't occur in the result. Tasks first join about TASK_EDGES edges each in memory, which leaves
     a forest of stars; one task's are final. Each round then is two aggregations with map-side minima and two joins,

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.blocks import Block, U, blocks, distinct, mix, pack, sharded, spans_hash, unpack
+from weftline.llm.blocks import Block, U, blocks, distinct, mix, pack, returning, sharded, spans_hash, unpack
 from weftline.llm.components import components
 from weftline.llm.scratch import durable, small
 from weftline.llm.tiles import dealt
@@ -35,6 +35,10 @@ SKETCH_BITS = 20
 SKETCH_SLICES = 16
 #: Shingles that a shard gets, on average (a fifth of them are in its tiles).
 SHARD_SHINGLES = 6_000_000
+#: Pairs that a task remembers having passed on.
+PASSED = 1 << 16
+#: Tile rows between components that a task gets of one family, about.
+FAMILY_ROWS = 2048
 #: Stands for a null doc_id: larger than any other.
 _NONE = 2**63 - 1
 _52 = U((1 << 52) - 1)
@@ -54,29 +58,34 @@ def shingles(block: Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount((keys >> U(52)).astype(np.int64), minlength=block.n)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles fall into each of 2**SKETCH_BITS buckets, in slices."""
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+@returning
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of two kinds: documents (d, t, n, signatures), and a slice of how many shingles fall into each of 2**SKETCH_BITS buckets."""
+    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+    names = ["d", "t", "n", "octave", "wide", "slice", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
     for b in batches:
         for block in blocks(b.column("text")):
-            keys, _ = shingles(block)
-            counts += np.bincount(((keys & _52) >> U(52 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-    parts = counts.reshape(SKETCH_SLICES, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "counts"])
+            keys, n = shingles(block)
+            np.add.at(counts, ((keys & _52) >> U(52 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+            octave, wide = _signatures(keys, n)
+            own = [b.column(c).slice(block.first, block.n) for c in ("d", "t")] + [pa.array(n), pa.array(octave, pa.int32()), wide]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(block.n, k) for k in kinds[5:]]], names)
+    parts = [pack(x) for x in np.split(counts, SKETCH_SLICES)]
+    yield pa.RecordBatch.from_arrays([*[pa.nulls(SKETCH_SLICES, k) for k in kinds[:5]], pa.array(range(SKETCH_SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
 
 def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for k, x in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            total[k] = total.get(k, 0) + np.frombuffer(x, np.int64)
+            total[k] = total.get(k, 0) + unpack(x)[0].astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "counts"])
 
 
-def rarity(texts: DataFrame) -> tuple[np.ndarray, int]:
+def rarity(slices: DataFrame) -> tuple[np.ndarray, int]:
     """A level 0..15 for each bucket of shingles (0: as frequent as usual or rarer), and the number of shingles."""
-    schema = "slice int, counts binary"
-    found = texts.mapInArrow(_sketch, schema).repartition(SKETCH_SLICES, "slice").mapInArrow(_sum_slices, schema).collect()
+    found = slices.select("slice", "counts").repartition(SKETCH_SLICES, "slice").mapInArrow(_sum_slices, "slice int, counts binary").collect()
     counts = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES), np.int64)
     for r in found:
         counts[r["slice"]] += np.frombuffer(r["counts"], np.int64)
@@ -98,8 +107,9 @@ def _signatures(keys: np.ndarray, n: np.ndarray) -> tuple[list[int], pa.Array]:
 
 
 def _tiles(levels: np.ndarray, shards: int) -> Callable:
-    """Rows of two kinds: documents (shard null: d, t, n, signatures) and, for each shard, a payload of documents and postings."""
+    """For each block and shard, a payload of documents and postings."""
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d, t = b.column("d").to_numpy(), b.column("t").to_numpy()
@@ -122,14 +132,12 @@ def _tiles(levels: np.ndarray, shards: int) -> Callable:
                     at = np.searchsorted(used, w)
                     shard.append(s)
                     payload.append(pack(own_d[used], own_t[used], n[used].astype(np.uint32), digest[used], key[order[lo:hi]], at.astype(np.uint16)))
-                octave, wide = _signatures(keys, n)
-                names = ["shard", "payload", "d", "t", "n", "octave", "wide"]
-                yield pa.RecordBatch.from_arrays([pa.nulls(block.n, pa.int32()), pa.nulls(block.n, pa.binary()), pa.array(own_d), pa.array(own_t), pa.array(n), pa.array(octave, pa.int32()), wide], names)
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(payload, pa.binary()), *[pa.nulls(len(shard), x.type) for x in (pa.array(own_d), pa.array(own_t), pa.array(n), pa.array(octave, pa.int32()), wide)]], names)
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(payload, pa.binary())], ["shard", "payload"])
 
     return run
 
 
+@returning
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one shard: rows of kind E (equal sets), C (neighbours to compare) and G (members of tiles of three or more sets)."""
     parts: list[list[np.ndarray]] = []
@@ -177,6 +185,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[c].tolist() if c == "kind" else x[c]) for c in x.dtype.names], list(x.dtype.names))
 
 
+@returning
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node and its whole set as sorted 52-bit hashes."""
     for b in batches:
@@ -188,6 +197,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([node.slice(block.first, block.n), pa.array(elements, pa.binary())], ["node", "elements"])
 
 
+@returning
 def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         good = []
@@ -201,6 +211,7 @@ def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
 
+@returning
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by tile: pairs of fitting sizes in different components whose signatures leave them possible."""
 
@@ -233,15 +244,15 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         d, t = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
         for u, v in pairs(rows, key[1] != key[2]):
-            new = [x for x in zip(d[u].tolist(), t[u].tolist(), d[v].tolist(), t[v].tolist(), strict=True) if x not in passed]
-            if new:
-                if len(passed) > 200_000:
-                    passed.clear()
-                passed.update(new)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*new, strict=True)], ["d", "t", "d2", "t2"])
-
-    # A pair often shares many tiles; one that this task has just passed on is left out.
-    passed: set[tuple] = set()
+            pair = np.stack([d[u], t[u], d[v], t[v]], axis=1)
+            slot = (spans_hash(pair.view(U).ravel(), 4 * np.arange(len(pair)), 4 * np.arange(len(pair)) + 4) & U(len(passed) - 1)).astype(np.int64)
+            pair = pair[(passed[slot] != pair).any(axis=1)]
+            passed[slot] = np.stack([d[u], t[u], d[v], t[v]], axis=1)
+            if len(pair):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pair.T], ["d", "t", "d2", "t2"])
+
+    # A pair often shares many tiles; one that this task has just passed on, the last of its slot, is left out.
+    passed = np.zeros((PASSED, 4), np.int64)
     key, rows = None, []
     for b in batches:
         names = ("k", "i", "j", "d", "t", "side", "rd", "rt", "n", "octave", "wide")
@@ -284,8 +295,11 @@ def _between_components(members: DataFrame, signatures: DataFrame) -> DataFrame:
     tiles = members.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(whose[0]).alias("x"), F.bit_xor(whose[1]).alias("y"))
     # Tiles of the same documents have the same pairs; one of them is enough.
     mixed = durable(tiles.where("lo != hi").groupBy("lo", "n", "x", "y").agg(F.min("k").alias("k")).select("k", "lo", "n"))
-    tiles = members.join(mixed.select("k", "lo"), "k").join(signatures, "node").select("k", "lo", "node.d", "node.t", F.col("root.d").alias("rd"), F.col("root.t").alias("rt"), "n", "octave", "wide")
-    found = dealt(tiles, mixed, "k", "t", near=[F.col("lo"), F.pmod("k", F.lit(2))]).mapInArrow(_across, "d bigint, t bigint, d2 bigint, t2 bigint")
+    # Tiles of a family share tasks, as far as these stay small, for its pairs to be passed on once.
+    families = durable(mixed.groupBy("lo").agg(F.ceil(F.sum("n") / FAMILY_ROWS).alias("tasks")).where("tasks > 1"))
+    mixed = durable(mixed.join(small(families), "lo", "left").select("k", "lo", "n", F.coalesce("tasks", F.lit(1)).alias("tasks")))
+    tiles = members.join(mixed.select("k", "lo", "tasks"), "k").join(signatures, "node").select("k", "lo", "tasks", "node.d", "node.t", F.col("root.d").alias("rd"), F.col("root.t").alias("rt"), "n", "octave", "wide")
+    found = dealt(tiles, mixed.drop("tasks"), "k", "t", near=[F.col("lo"), F.pmod("k", "tasks")]).mapInArrow(_across, "d bigint, t bigint, d2 bigint, t2 bigint")
     a, b = F.struct("d", "t"), F.struct(F.col("d2").alias("d"), F.col("t2").alias("t"))
     return found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
@@ -304,11 +318,13 @@ def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For docs (doc_id, text): members (d, t, n: one row per row of docs) and roots (node, root) of linked documents."""
     rows = _keyed(docs)
-    levels, total = rarity(rows.select("text"))
+    survey = durable(rows.select("node.d", "node.t", "text").mapInArrow(_survey, "d bigint, t bigint, n bigint, octave int, wide array<bigint>, slice int, counts binary"))
+    levels, total = rarity(survey.where("slice is not null"))
     shards = max(4, -(-total // SHARD_SHINGLES))
-    tiles = durable(rows.select("node.d", "node.t", "text").mapInArrow(_tiles(levels, shards), "shard int, payload binary, d bigint, t bigint, n bigint, octave int, wide array<bigint>"))
-    signatures = tiles.where("shard is null").select(F.struct("d", "t").alias("node"), "n", "octave", "wide").dropDuplicates(["node"])
-    near = tiles.where("shard is not null").select("shard", "payload").repartitionById(shards, "shard").mapInArrow(_neighbours, "kind string, k bigint, d bigint, t bigint, d2 bigint, t2 bigint, n bigint")
+    signed = survey.where("slice is null")
+    signatures = signed.select(F.struct("d", "t").alias("node"), "n", "octave", "wide").dropDuplicates(["node"])
+    tiles = rows.select("node.d", "node.t", "text").mapInArrow(_tiles(levels, shards), "shard int, payload binary")
+    near = tiles.repartitionById(shards, "shard").mapInArrow(_neighbours, "kind string, k bigint, d bigint, t bigint, d2 bigint, t2 bigint, n bigint")
     near = durable(near)
     pair = [F.struct("d", "t").alias("a"), F.struct(F.col("d2").alias("d"), F.col("t2").alias("t")).alias("b")]
     equal = near.where("kind = 'E'").select(*pair).distinct()
@@ -328,7 +344,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = durable(found.distinct().join(compared, ["a", "b"], "left_anti"))
         compared = compared.unionByName(pairs)
         roots = _joined(roots, durable(_verified(pairs, rows, signatures)))
-    return tiles.where("shard is null").select("d", "t", "n"), roots
+    return signed.select("d", "t", "n"), roots
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

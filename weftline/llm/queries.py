@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import cap_filters, exact_dedup, language, licenses, mixing, ngram_join, packing, pitman_yor, quality, substring_dedup
-from weftline.llm.scratch import small_batches
+from weftline.llm.scratch import frugal
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
+    frugal(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -10,52 +10,36 @@ from pyspark.sql import functions as F
 
 #: Tables of fixed-size rows up to this size are broadcast.
 SMALL_BYTES = 8 << 20
-#: The tables of the pipeline's current stage, once there is one.
-_noted: list[list[str]] = []
 _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where none is set (local tests)."""
+    """The session's spark.checkpoint.dir. Where none is set, a temporary folder with a local master, and an error with any other."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir is unset; executors need a folder they all share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="weftline-")
     return "file://" + _own[app]
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Let Arrow batches have so few rows that whole texts in both directions take little memory beside the heap."""
+def frugal(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Arrow batches have so few rows that whole texts in both directions take little memory beside the heap, and let
+    Spark delete a query's shuffle files when the query ends, as its results are tables of their own by then."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def begin_stages() -> None:
-    """From now on tables are noted, for next_stage()."""
-    _noted[:] = [[]]
-
-
-def next_stage(spark: SparkSession) -> None:
-    """Delete the tables noted since the last stage began, whose result has been written by now."""
-    if _noted:
-        for path in _noted[0]:
-            _delete(spark, path)
-        _noted[0].clear()
-
-
-def end_stages() -> None:
-    """No more tables are noted; those of the last stage stay until release()."""
-    _noted.clear()
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def durable(df: DataFrame, noted: bool = True) -> DataFrame:
+def durable(df: DataFrame) -> DataFrame:
     """df as written to a Parquet table in the shared folder and read back.
 
     Lost executors cost no lineage, and values such as monotonically_increasing_id() are fixed from then on.
@@ -63,8 +47,6 @@ def durable(df: DataFrame, noted: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/weftline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    if noted and _noted:
-        _noted[0].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
