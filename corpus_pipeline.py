@@ -7,35 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import exact_dedup, language, mixing, ngram_join, packing
-from weftline.llm.scratch import begin_stages, durable, end_stages, next_stage, small_batches
+from weftline.llm.scratch import durable, frugal
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    begin_stages()
+    frugal(spark)
     return language.keep_identified(docs, language.learn(docs.where(~language.held_out())))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    next_stage(spark)
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    next_stage(spark)
     return ngram_join.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    next_stage(spark)
     return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    next_stage(spark)
-    end_stages()
     return packing.pack(docs)
 
 
@@ -48,7 +42,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = durable(docs, noted=False)
+            docs = durable(docs)
     return docs
 
 
