@@ -2,7 +2,7 @@
 
 Documents are tokenized once; longer ones are cut into full sequences and a shorter first piece, so that one piece a
 document is left to pack. Those pieces are dealt by a hash into shards of about SHARD, each packed on its own. A shard
-has ISLANDS populations, evolved in tasks of their own: a crossover injects whole well-filled bins of one parent into
+has ISLANDS populations of best-fit packings in several orders, evolved in tasks of their own: a crossover injects whole well-filled bins of one parent into
 another, removes the bins that hold duplicates and best-fits the displaced documents. Between rounds the elite of each
 island migrates to the next one of its shard; the best island's packing is taken at the end.
 
@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.blocks import returning
 from weftline.llm.scratch import durable
 
 LENGTH = 2048
@@ -30,7 +31,7 @@ SHARD = 4096
 ISLANDS = 2
 ROUNDS = 2
 POPULATION = 4
-CROSSOVERS = 12
+CROSSOVERS = 40
 #: Bins filled to this share may be injected.
 WELL_FILLED = 0.97
 SEED = 13
@@ -69,6 +70,7 @@ def cut(total: int, length: int = LENGTH) -> list[tuple[int, int]]:
 
 
 def _pieces(vocabulary: tuple[str, str, str] | None, length: int, with_ids: bool):
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(*(vocabulary or default_vocabulary()))
         for b in batches:
@@ -132,36 +134,41 @@ def crossover(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, rng: np.random.Ge
     broken = np.zeros(bins_a, bool)
     broken[a[injected]] = True
     load_a = np.bincount(a, weights=sizes, minlength=bins_a)
-    if bins_a:  # a few of the emptiest bins go too
+    if bins_a:  # a few of the emptiest bins go too, and some of those that are not full
         broken[np.argsort(load_a)[: 1 + int(rng.integers(0, 8))]] = True
+        broken |= (load_a < length) & (rng.random(bins_a) < rng.uniform(0, 0.5))
     child = np.where(injected, bins_a + b, a)
     displaced = np.flatnonzero(broken[a] & ~injected)
     child[displaced] = -1
     used, child[child >= 0] = np.unique(child[child >= 0], return_inverse=True)
     load = np.bincount(child[child >= 0], weights=sizes[child >= 0], minlength=len(used)).astype(int).tolist()
-    best_fit(sizes.tolist(), displaced.tolist(), child, load, length)
+    order = displaced[np.argsort(-sizes[displaced] * rng.uniform(1 - (spread := rng.choice([0.0, 0.1, 0.4])), 1 + spread, len(displaced)), kind="stable")]
+    best_fit(sizes.tolist(), order.tolist(), child, load, length)
     return child
 
 
-def evolve(sizes: np.ndarray, seeds: list[np.ndarray], rng: np.random.Generator, length: int, population: int, crossovers: int) -> np.ndarray:
-    """The best packing after some crossovers. sizes fall; seeds are packings to start from."""
+def evolve(sizes: np.ndarray, seeds: list[np.ndarray], rng: np.random.Generator, length: int, population: int, crossovers: int) -> tuple[np.ndarray, int, int]:
+    """The best packing after the crossovers, the bins of the best one before them, and how many children were kept.
+
+    sizes fall; seeds are packings to start from, joined by best-fit packings: by falling size if there are no seeds, else in
+    random orders.
+    """
     pool = list(seeds)
     while len(pool) < population:
         place = np.full(len(sizes), -1)
-        order = np.arange(len(sizes)) if not pool else np.argsort(-sizes * rng.uniform(0.9, 1.1, len(sizes)), kind="stable")
+        order = np.argsort(-sizes * rng.uniform(0.5, 1.5, len(sizes)), kind="stable") if pool else np.arange(len(sizes))
         best_fit(sizes.tolist(), order.tolist(), place, [], length)
         pool.append(place)
     scores = [fitness(sizes, x, length) for x in pool]
-    least = -(-int(sizes.sum()) // length)
+    start, kept = min(scores)[0], 0
     for _ in range(crossovers):
-        if min(scores)[0] <= least:
-            break
         x, y = rng.choice(len(pool), 2, replace=False)
         child = crossover(sizes, pool[x], pool[y], rng, length)
         score, worst = fitness(sizes, child, length), max(range(len(pool)), key=scores.__getitem__)
         if score <= scores[worst]:
             pool[worst], scores[worst] = child, score
-    return pool[min(range(len(pool)), key=scores.__getitem__)]
+            kept += 1
+    return pool[min(range(len(pool)), key=scores.__getitem__)], start, kept
 
 
 def _sorted(items: pd.DataFrame) -> pd.DataFrame:
@@ -181,9 +188,9 @@ def _searches(r: int, length: int, population: int, crossovers: int):
     def search(key: tuple, own: pd.DataFrame, genomes: list[bytes]) -> pd.DataFrame:
         sizes = _sorted(own)["length"].to_numpy()
         seeds = [np.frombuffer(g, np.int32).astype(np.int64) for g in genomes]
-        best = evolve(sizes, seeds, np.random.default_rng([SEED, int(key[0]), int(key[1]), r]), length, population, crossovers)
+        best, start, kept = evolve(sizes, seeds, np.random.default_rng([SEED, int(key[0]), int(key[1]), r]), length, population, crossovers)
         bins, fill = fitness(sizes, best, length)
-        return pd.DataFrame({"shard": [key[0]], "island": [key[1]], "bins": [bins], "fill": [fill], "genome": [best.astype(np.int32).tobytes()]})
+        return pd.DataFrame({"shard": [key[0]], "island": [key[1]], "start": [start], "kept": [kept], "migrants": [len(seeds) - bool(seeds)], "bins": [bins], "fill": [fill], "genome": [best.astype(np.int32).tobytes()]})
 
     def alone(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         return search(key, own, [])
@@ -194,16 +201,17 @@ def _searches(r: int, length: int, population: int, crossovers: int):
     return alone, visited
 
 
-def _place(items: DataFrame, length: int, shard: int, islands: int, rounds: int, population: int, crossovers: int) -> DataFrame:
-    """uid, shard, bin, offset for items (uid, length)."""
+def search(items: DataFrame, length: int = LENGTH, shard: int = SHARD, islands: int = ISLANDS, rounds: int = ROUNDS, population: int = POPULATION, crossovers: int = CROSSOVERS) -> tuple[DataFrame, list[DataFrame]]:
+    """uid, shard, bin, offset for items (uid, length at most that of a sequence), and for each round a row an island: bins
+    before and after its crossovers, children kept, migrants taken in."""
     shards = max(1, -(-items.count() // shard))
     # repartition(): adaptive execution would merge these small groups into one task.
     items = items.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
     each = durable(items.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).repartition(shards * islands, "shard", "island"))
-    elite = None
+    elite, history = None, []
     for r in range(rounds):
         alone, visited = _searches(r, length, population, crossovers)
-        schema = "shard long, island int, bins long, fill double, genome binary"
+        schema = "shard long, island int, start long, kept long, migrants long, bins long, fill double, genome binary"
         own = each.select("shard", "island", "uid", "length").repartition(shards * islands, "shard", "island").groupBy("shard", "island")
         if elite is None:
             elite = durable(own.applyInPandas(alone, schema))
@@ -212,13 +220,15 @@ def _place(items: DataFrame, length: int, shard: int, islands: int, rounds: int,
             moved = elite.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.lit(1).alias("rank"), "genome")
             guests = stay.unionByName(moved).repartition(shards * islands, "shard", "island").groupBy("shard", "island")
             elite = durable(own.cogroup(guests).applyInPandas(visited, schema))
+        history.append(elite)
     best = elite.groupBy("shard").agg(F.min_by("genome", F.struct("bins", "fill", "island")).alias("genome"))
 
     def settle(key: tuple, own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         return _placed(own, found["genome"].iloc[0]) if len(own) else pd.DataFrame({"uid": [], "shard": [], "bin": [], "offset": []})
 
     by_shard = items.repartition(shards, "shard").groupBy("shard")
-    return by_shard.cogroup(best.repartition(shards, "shard").groupBy("shard")).applyInPandas(settle, "uid long, shard long, bin long, offset long")
+    placed = by_shard.cogroup(best.repartition(shards, "shard").groupBy("shard")).applyInPandas(settle, "uid long, shard long, bin long, offset long")
+    return placed, history
 
 
 def pack(docs: DataFrame, length: int = LENGTH, vocabulary: tuple[str, str, str] | None = None, with_ids: bool = False, shard: int = SHARD, islands: int = ISLANDS, rounds: int = ROUNDS, population: int = POPULATION, crossovers: int = CROSSOVERS) -> DataFrame:
@@ -233,7 +243,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: tuple[str, str, str]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Written, which fixes uid and tokenizes once.
     pieces = durable(rows.mapInArrow(_pieces(vocabulary, length, with_ids), schema).withColumn("uid", F.monotonically_increasing_id()))
-    placed = _place(pieces.where("not whole").select("uid", "length"), length, shard, islands, rounds, population, crossovers)
+    placed, _ = search(pieces.where("not whole").select("uid", "length"), length, shard, islands, rounds, population, crossovers)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
     full = pieces.where("whole").withColumn("sequence_id", -1 - F.col("uid")).withColumn("offset", F.lit(0).cast("long"))
     rest = pieces.where("not whole").join(placed, "uid").withColumn("sequence_id", F.col("shard") * F.lit(1 << 20) + F.col("bin"))
