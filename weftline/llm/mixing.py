@@ -65,10 +65,13 @@ def _mixed(base: DataFrame, max_epochs: int) -> DataFrame:
     prefix = rows.withColumn("prefix", F.sum("size").over(within)).join(sums, ["src", "range"])
     epochs = F.floor(F.col("target") / F.col("source_size"))
     left = F.col("target") - epochs * F.col("source_size")
-    # A document counts as inside if most of it is: the sum then is as near the budget as whole documents allow.
+    # mix() takes whole documents; one counts as inside if most of it is, which is as near the budget as they allow.
     inside = F.col("before") + F.col("prefix") - F.col("size") / 2 <= left
     copies = F.when(F.col("source_size") > 0, F.least(epochs + F.when(inside, 1).otherwise(0), F.lit(max_epochs))).otherwise(0).cast("int")
-    return prefix.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
+    # The document at the end of the budget is taken in part, so the words taken are the target, rounded.
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.round(left).cast("long") - (F.col("before") + F.col("prefix") - F.col("size"))))
+    taken = F.when(F.col("source_size") > 0, F.least(epochs * F.col("size") + part, max_epochs * F.col("size"))).otherwise(0).cast("long")
+    return prefix.withColumn("copies", copies).withColumn("taken", taken)
 
 
 def _base(docs: DataFrame, labels: DataFrame | None, seed: int, *more: Column) -> DataFrame:
@@ -82,7 +85,8 @@ def _base(docs: DataFrame, labels: DataFrame | None, seed: int, *more: Column) -
 def mixture(docs: DataFrame, labels: DataFrame | None = None, seed: int = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """One row per row of docs (doc_id, text, source; others are ignored): doc_id, size, source_size, target, taken.
 
-    taken is a multiple of size, at most max_epochs times it. labels (doc_id, quality) give the weights. Null texts and
+    taken is in words, at most max_epochs times size: whole epochs, and one more for the documents before the end of the
+    source's budget, of which the last is taken in part. labels (doc_id, quality) give the weights. Null texts and
     texts without words have size 0 and take nothing; null is a source of its own; equal keys go by doc_id. A source
     without words has target 0, an empty table gives an empty result, and reruns agree.
     """
@@ -90,7 +94,12 @@ def mixture(docs: DataFrame, labels: DataFrame | None = None, seed: int = SEED,
 
 
 def mix(docs: DataFrame, labels: DataFrame | None = None, seed: int = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The rows of docs that mixture() takes, each as often as it is taken, with all columns as they were."""
+    """The rows of docs that mixture() takes, each as often as it is taken, with all columns as they were.
+
+    Documents are whole here: the one at the end of a source's budget comes if most of it does. Of documents without words
+    (null or empty texts) those come whose keys are before the end. Extra columns may have any names; repeated rows are
+    documents of their own; an empty table stays empty.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     base = _base(docs, labels, seed, row)
     copies = _mixed(base.drop("row"), max_epochs).where("copies > 0").select("uid", "copies")
