@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components
-from weftline.llm.scratch import durable
+from weftline.llm.scratch import durable, temporary
 from weftline.llm.tiles import TILE, dealt
 
 LIMIT = 0.95
@@ -156,16 +156,17 @@ def near_vectors(vectors: DataFrame, limit: float = LIMIT, tile: int = TILE) ->
     id_ = F.coalesce(F.col("vec_id").cast("long"), F.lit(none))
     usable = F.expr("coalesce(size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x != 0), false)")
     rows = durable(vectors.select(F.monotonically_increasing_id().alias("uid"), id_.alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).withColumn("v", F.when(usable, F.col("v"))))
-    grouped = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("mult"))
-    classes = durable(grouped.withColumn("cid", F.monotonically_increasing_id()))
-    t, k = parameters(classes.count(), limit)
-    coded = durable(classes.select("cid", "mult", "v").mapInArrow(_filters(t, k), "cid long, mult long, v array<double>, filters array<long>"))
-    sizes = coded.select(F.explode("filters").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    members = dealt(coded.withColumn("f", F.explode("filters")), sizes, "f", "cid", tile)
-    found = durable(members.mapInArrow(_links(limit), "cid long, links long, other long"))
-    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("cid").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "cid")
-    joined = durable(classes.join(links, "cid", "left").join(roots, "cid", "left").select("cid", "v", "least", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root")))
+    with temporary(vectors.sparkSession) as keep:
+        grouped = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("mult"))
+        classes = durable(grouped.withColumn("cid", F.monotonically_increasing_id()))
+        t, k = parameters(classes.count(), limit)
+        coded = durable(classes.select("cid", "mult", "v").mapInArrow(_filters(t, k), "cid long, mult long, v array<double>, filters array<long>"))
+        sizes = coded.select(F.explode("filters").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+        members = dealt(coded.withColumn("f", F.explode("filters")), sizes, "f", "cid", tile)
+        found = durable(members.mapInArrow(_links(limit), "cid long, links long, other long"))
+        links = found.groupBy("cid").agg(F.sum("links").alias("links"))
+        roots = components(found.select(F.col("cid").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "cid")
+        joined = keep(durable(classes.join(links, "cid", "left").join(roots, "cid", "left").select("cid", "v", "least", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root"))))
     lowest = joined.groupBy("root").agg(F.min("least").alias("component"))
     out = rows.join(joined.join(lowest, "root").select("v", "n_links", "component"), "v", "left")
     component = F.coalesce("component", "vec_id")

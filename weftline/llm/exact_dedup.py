@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.scratch import durable
+from weftline.llm.scratch import discard, durable
 
 FIRST_DIGIT = 128
 WIDER = 8
@@ -29,10 +29,10 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _settle(rows: DataFrame, first_digit: int, wider: int, normal: Column, keep_text: bool) -> DataFrame:
-    """rows: uid long (fixed), doc_id, text, payload. normal: the normalised digit, made from the column raw_digit.
+    """rows: uid, doc_id, text, payload, from durable(), and deleted here. normal: the normalised digit, made from the column raw_digit.
 
-    Returns uid, doc_id, text (null unless keep_text), payload, n (rows of the group) and best (struct d, uid: the row
-    that stays).
+    Returns uid, doc_id, payload, n (rows of the group) and best (struct d, uid: the row that stays), of all rows with a
+    null text, or with keep_text of the rows that stay, with their texts.
     """
     open_rows, start, width, settled = rows.withColumn("gid", F.lit(0).cast("long")), 1, first_digit, None
     while True:
@@ -43,7 +43,8 @@ def _settle(rows: DataFrame, first_digit: int, wider: int, normal: Column, keep_
         done = F.col("n").isNull() | (F.length("digit") < width)
         own = F.struct(F.coalesce("doc_id", F.lit(_NONE)).alias("d"), "uid")
         text = F.col("text") if keep_text else F.when(~done, F.col("text"))
-        level = durable(state.join(groups, ["gid", "digit"], "left").select("uid", "doc_id", text.alias("text"), "payload", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("best", own).alias("best"), done.alias("done")))
+        level = durable(state.join(groups, ["gid", "digit"], "left").select("uid", "doc_id", text.alias("text"), "payload", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("best", own).alias("best"), done.alias("done")).where(F.lit(not keep_text) | ~F.col("done") | (F.col("uid") == F.col("best.uid"))))
+        discard(rows.sparkSession, groups, *([rows] if start == 1 else []))
         ended = level.where("done").drop("done")
         settled = ended if settled is None else settled.unionByName(ended)
         open_rows = level.where("not done").select("uid", "doc_id", "text", "payload", F.col("best.uid").alias("gid"))
@@ -80,8 +81,11 @@ def exact_duplicates(docs: DataFrame, first_digit: int = FIRST_DIGIT, wider: int
 
 
 def drop_exact_duplicates(docs: DataFrame, first_digit: int = FIRST_DIGIT, wider: int = WIDER) -> DataFrame:
-    """The rows of docs that exact_duplicates keeps, with all columns as they were."""
+    """The rows of docs that exact_duplicates keeps, with all columns as they were, whatever their names.
+
+    Nulls, empty texts, ties, repeated rows and an empty table are treated as there.
+    """
     others = [c for c in docs.columns if c != "text"]
     rows = durable(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("payload")))
-    settled = _settle(rows, first_digit, wider, F.translate("raw_digit", _UPPER, _LOWER), True).where("uid = best.uid")
+    settled = _settle(rows, first_digit, wider, F.translate("raw_digit", _UPPER, _LOWER), True)
     return settled.select(*[F.col("text") if c == "text" else F.col(f"payload.`{c}`").alias(c) for c in docs.columns])

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.blocks import Block, U, blocks, distinct, mix, pack, returning, sharded, spans_hash, unpack
 from weftline.llm.components import components
-from weftline.llm.scratch import durable, small
+from weftline.llm.scratch import durable, small, temporary
 from weftline.llm.tiles import dealt
 
 WORDS = 5
@@ -317,6 +317,12 @@ def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For docs (doc_id, text): members (d, t, n: one row per row of docs) and roots (node, root) of linked documents."""
+    with temporary(docs.sparkSession) as keep:
+        members, roots = _link(docs)
+        return keep(durable(members)), keep(roots)
+
+
+def _link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _keyed(docs)
     survey = durable(rows.select("node.d", "node.t", "text").mapInArrow(_survey, "d bigint, t bigint, n bigint, octave int, wide array<bigint>, slice int, counts binary"))
     levels, total = rarity(survey.where("slice is not null"))
@@ -362,7 +368,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns as they were, but of each group of linked documents only the one with the smallest doc_id."""
+    """The rows of docs, with all columns as they were, but of each group of linked documents only the one with the smallest doc_id.
+
+    Documents without words stay. Repeated rows with the same doc_id and text are one document and stay or go together; a
+    null doc_id is larger than any other. Extra columns may have any names; an empty table stays empty.
+    """
     _, roots = link(docs)
     gone = roots.where("node != root").select(F.col("node.d").alias("d"), F.col("node.t").alias("t"))
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key())

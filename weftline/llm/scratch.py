@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 #: Tables of fixed-size rows up to this size are broadcast.
 SMALL_BYTES = 8 << 20
 _own: dict[str, str] = {}
+#: The tables written in each temporary() that is open in this thread, innermost last.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 def folder(spark: SparkSession) -> str:
@@ -43,12 +48,43 @@ def durable(df: DataFrame) -> DataFrame:
     """df as written to a Parquet table in the shared folder and read back.
 
     Lost executors cost no lineage, and values such as monotonically_increasing_id() are fixed from then on.
-    The table stays until release(), as the frames that read it are lazy.
+    The table stays until release(), as the frames that read it are lazy; one inside temporary() goes with that.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/weftline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if _open.get():
+        _open.get()[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete tables that durable() returned and no lazy frame reads any more."""
+    for frame in frames:
+        _delete(spark, frame._written_to)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that durable() writes inside are deleted at the end, but for those given to the function that this yields."""
+    own: list[str] = []
+    outer = _open.get()
+    token = _open.set((*outer, own))
+
+    def keep(frame: DataFrame) -> DataFrame:
+        own.remove(frame._written_to)
+        if outer:
+            outer[-1].append(frame._written_to)
+        return frame
+
+    try:
+        yield keep
+    finally:
+        _open.reset(token)
+        for path in own:
+            _delete(spark, path)
 
 
 def small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.blocks import Block, U, blocks, mix, spans_hash
-from weftline.llm.scratch import durable
+from weftline.llm.scratch import durable, temporary
 
 WINDOW = 50
 GRAM = 10
@@ -207,18 +207,20 @@ def substring_dedup(docs: DataFrame, index: FingerprintIndex | None = None, batc
     doc_id, doesn't count. A null text has no words; rows with a null doc_id stay whole. Without an index of these
     documents, one is made in batches of rising doc_id.
     """
-    if index is None:
-        index = FingerprintIndex(docs.sparkSession)
-        lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-        if lo is not None:
-            cuts = [lo + (hi + 1 - lo) * i // batches for i in range(batches + 1)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a < b:
-                    index.ingest(docs.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)))
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
-    if index.runs:
-        rows = rows.join(durable(repeated_spans(docs, index)), ["doc_id", "t"], "left").select("doc_id", "text", "spans")
-    else:
-        rows = rows.select("doc_id", "text", F.expr("cast(null as array<struct<start: bigint, n: bigint>>)").alias("spans"))
+    with temporary(spark) as keep:
+        if index is None:
+            index = FingerprintIndex(spark)
+            lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+            if lo is not None:
+                cuts = [lo + (hi + 1 - lo) * i // batches for i in range(batches + 1)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if a < b:
+                        index.ingest(docs.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)))
+        if index.runs:
+            rows = rows.join(keep(durable(repeated_spans(docs, index))), ["doc_id", "t"], "left").select("doc_id", "text", "spans")
+        else:
+            rows = rows.select("doc_id", "text", F.expr("cast(null as array<struct<start: bigint, n: bigint>>)").alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
     return rows.mapInArrow(_removed(index.window, texts), schema)
