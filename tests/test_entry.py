@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 HERE = __file__.rsplit("/tests/", 1)[0]
 
 
-@pytest.mark.parametrize("name", ["motif_m3_count", "motif_m3_decay_weight", "join_threshold", "join_sim_l2", "agg_keep_rows_median", "bucket_sliding", "clustering_coeff", "wcc", "pagerank_10", "snapshot_growth"])
+@pytest.mark.parametrize("name", ["motif_m3_count", "motif_m3_decay_weight", "join_threshold", "join_sim_l2", "agg_keep_rows_median", "bucket_sliding", "clustering_coeff", "wcc", "pagerank_10", "snapshot_growth", "tmds_batch", "betweenness", "personal_pagerank", "core_periphery", "top_cascades", "join_threshold_per_key", "pajek_roundtrip", "connections_text", "splice_by_group", "pagerank_per_week", "static_feedforward", "weighted_closeness", "join_haversine", "update_last_match"])
 def test_queries_match_their_sql(spark, name):
     c = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents pages".split():

@@ -96,6 +96,25 @@ def math(x: Column) -> dict[str, Column]:
     return {"log": F.log(x), "log2": F.log2(x), "sqrt": F.sqrt(x), "sign": F.signum(x), "round2": F.round(x, 2), "factorial": F.factorial(F.least(F.abs(x).cast("int"), F.lit(20)))}
 
 
+def log_factorial(x: Column) -> Column:
+    """Logarithm of the factorial of a whole number, as the sum of logarithms up to it."""
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(x.cast("int"), F.lit(1))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
+
+
+def log_binomial(n: Column, k: Column) -> Column:
+    """Logarithm of the number of ways to choose k of n."""
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+
+
+def to_json_column(df: DataFrame, columns: list[str], result: str) -> DataFrame:
+    return df.withColumn(result, F.to_json(F.struct(*columns)))
+
+
+def from_json_column(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """df with the fields of the JSON texts as columns."""
+    return df.withColumn("_j", F.from_json(F.col(column), schema)).select(*df.columns, "_j.*")
+
+
 def array_edit(df: DataFrame, column: str, append=None, remove=None, delete_at: int | None = None) -> DataFrame:
     """An array column with a value appended, a value removed, or the element at a 0-based place deleted."""
     c = F.col(column)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.order import numbered
+
 
 def tumbling(df: DataFrame, value: str, start: int, end: int, jump: int) -> DataFrame:
     """Rows in [start, end] with bucket = (value - start) div jump."""
@@ -45,7 +47,7 @@ def unit_start(seconds: Column, unit: str) -> Column:
 
 def by_count(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """Buckets of so many rows in the given order."""
-    return df.withColumn("bucket", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("long"))
+    return numbered(df, order, "bucket").withColumn("bucket", F.floor(F.col("bucket") / size).cast("long"))
 
 
 def first_edges(edges: DataFrame) -> DataFrame:
@@ -78,3 +80,33 @@ def closing_edges(edges: DataFrame) -> DataFrame:
     both = first.select(F.col("a").alias("x"), F.col("b").alias("y"), "t").union(first.select("b", "a", "t"))
     wedge = both.select("x", F.col("y").alias("a"), F.col("t").alias("t1")).join(both.select("x", F.col("y").alias("b"), F.col("t").alias("t2")), "x").where("a < b").groupBy("a", "b").agg(F.min(F.greatest("t1", "t2")).alias("ready"))
     return first.join(wedge, ["a", "b"]).where("ready < t").select("a", "b", "t")
+
+
+def per_bucket(edges: DataFrame, bucket: str = "bucket") -> DataFrame:
+    """A row for each bucket with edges: nodes, edges and distinct edges of its graph."""
+    ends = edges.select(bucket, F.col("src").alias("node")).union(edges.select(bucket, "dst")).groupBy(bucket).agg(F.countDistinct("node").alias("nodes"))
+    own = edges.groupBy(bucket, "src", "dst").agg(F.count(F.lit(1)).alias("n")).groupBy(bucket).agg(F.sum("n").alias("edges"), F.count(F.lit(1)).alias("pairs"))
+    return own.join(ends, bucket)
+
+
+def graph_sequence(edges: DataFrame, bucket: str = "bucket") -> DataFrame:
+    """The graphs of all buckets as one whose nodes are structs (bucket, id), for algorithms that work node by node."""
+    return edges.select(F.struct(F.col(bucket).alias("bucket"), F.col("src").alias("id")).alias("src"), F.struct(F.col(bucket).alias("bucket"), F.col("dst").alias("id")).alias("dst"))
+
+
+def ranks_in_sequence(edges: DataFrame, iterations: int = 10, damping: float = 0.85, bucket: str = "bucket") -> DataFrame:
+    """bucket, id, rank: PageRank in the graph of each bucket, all buckets in the same rounds."""
+    from weftline.plans.densest import cut_lineage
+
+    e = edges.select(bucket, "src", "dst").distinct()
+    e = cut_lineage(e.join(e.groupBy(bucket, "src").agg(F.count(F.lit(1)).alias("o")), [bucket, "src"]))
+    nodes = e.select(bucket, F.col("src").alias("id")).union(e.select(bucket, "dst")).distinct()
+    sizes = nodes.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
+    rank = cut_lineage(nodes.join(sizes, bucket).select(bucket, "id", "n", (1 / F.col("n")).alias("rank")))
+    for _ in range(iterations):
+        got = e.join(rank.select(bucket, F.col("id").alias("src"), "rank"), [bucket, "src"]).groupBy(bucket, F.col("dst").alias("id")).agg((damping * F.sum(F.col("rank") / F.col("o"))).alias("got"))
+        new = rank.select(bucket, "id", "n").join(got, [bucket, "id"], "left").na.fill(0.0, ["got"])
+        new = cut_lineage(new)
+        leak = new.groupBy(bucket).agg(((1 - F.sum("got")) / F.first("n")).alias("leak"))
+        rank = cut_lineage(new.join(leak, bucket).select(bucket, "id", "n", (F.col("got") + F.col("leak")).alias("rank")))
+    return rank.select(bucket, "id", "rank")

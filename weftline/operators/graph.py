@@ -6,9 +6,12 @@ DataFrames whose lineage is cut at each round in the shared checkpoint folder; o
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.order import numbered, prefix
 from weftline.plans.densest import cut_lineage
 
 # Construction
@@ -45,7 +48,7 @@ def canonical(edges: DataFrame) -> DataFrame:
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+    return edges.select(*[F.col({"src": "dst", "dst": "src"}.get(c, c)).alias(c) for c in edges.columns])
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -58,11 +61,13 @@ def edge_subgraph(edges: DataFrame, condition) -> DataFrame:
 
 
 def egonet(edges: DataFrame, center: int) -> tuple[DataFrame, DataFrame]:
-    """The edges among a node and its neighbours, and a row with the number of edges that leave that set."""
+    """The edges among a node and its neighbours, and a row with the numbers of edges that leave that set and enter it."""
     near = edges.where(F.col("src") == center).select(F.col("dst").alias("id")).union(edges.where(F.col("dst") == center).select("src")).union(edges.sparkSession.createDataFrame([(center,)], "id long")).distinct()
     inside = induced(edges, near)
-    touching = edges.join(near.select(F.col("id").alias("src")), "src", "left_semi").join(near.select(F.col("id").alias("dst")), "dst", "left_anti").agg(F.count(F.lit(1)).alias("leaving"))
-    return inside, touching
+    src, dst = (near.select(F.col("id").alias(c)) for c in ("src", "dst"))
+    out = edges.join(src, "src", "left_semi").join(dst, "dst", "left_anti").agg(F.count(F.lit(1)).alias("leaving"))
+    into = edges.join(dst, "dst", "left_semi").join(src, "src", "left_anti").agg(F.count(F.lit(1)).alias("entering"))
+    return inside, out.crossJoin(into)
 
 
 def random_nodes(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -107,6 +112,62 @@ def flatten_modes(modes: dict[str, DataFrame], crosses: dict[str, tuple[str, str
     return nodes, edges
 
 
+@dataclass(frozen=True)
+class ModeNet:
+    """A network of several kinds of nodes: tables (id, ...) by mode, and edge tables (src, dst, ...) between two modes by
+    cross-net. Every change gives a new one."""
+
+    modes: dict[str, DataFrame]
+    crosses: dict[str, tuple[str, str, DataFrame]] = field(default_factory=dict)
+
+    def with_mode(self, name: str, nodes: DataFrame) -> ModeNet:
+        return ModeNet(self.modes | {name: nodes}, self.crosses)
+
+    def with_cross(self, name: str, source: str, target: str, edges: DataFrame) -> ModeNet:
+        if source not in self.modes or target not in self.modes:
+            raise ValueError("a cross-net joins two modes of the network")
+        return ModeNet(self.modes, self.crosses | {name: (source, target, edges)})
+
+    def without_mode(self, name: str) -> ModeNet:
+        """Its cross-nets go too."""
+        return ModeNet({k: v for k, v in self.modes.items() if k != name}, {k: v for k, v in self.crosses.items() if name not in v[:2]})
+
+    def without_cross(self, name: str) -> ModeNet:
+        return ModeNet(self.modes, {k: v for k, v in self.crosses.items() if k != name})
+
+    def neighbours(self, cross: str) -> DataFrame:
+        """src, dst of a cross-net."""
+        return self.crosses[cross][2].select("src", "dst")
+
+    def sub_modes(self, conditions: dict) -> ModeNet:
+        """The modes given, with the nodes their conditions hold for, and the edges among them."""
+        modes = {k: self.modes[k].where(c) for k, c in conditions.items()}
+        crosses = {}
+        for name, (a, b, e) in self.crosses.items():
+            if a in modes and b in modes:
+                kept = e.join(modes[a].select(F.col("id").alias("src")), "src", "left_semi").join(modes[b].select(F.col("id").alias("dst")), "dst", "left_semi")
+                crosses[name] = (a, b, kept.select(*e.columns))
+        return ModeNet(modes, crosses)
+
+    def sub_crosses(self, names: list[str]) -> ModeNet:
+        """The cross-nets given and the modes they join."""
+        crosses = {k: self.crosses[k] for k in names}
+        used = {m for a, b, _ in crosses.values() for m in (a, b)}
+        return ModeNet({k: v for k, v in self.modes.items() if k in used}, crosses)
+
+    def flat(self) -> tuple[DataFrame, DataFrame]:
+        return flatten_modes(self.modes, self.crosses)
+
+
+def set_attribute(df: DataFrame, key: str, values: DataFrame, name: str) -> DataFrame:
+    """df (nodes or edges) with the attribute name taken from values (key, name), in place of one it has; null where missing."""
+    return df.drop(name).join(values.select(key, name), key, "left")
+
+
+def delete_attribute(df: DataFrame, name: str) -> DataFrame:
+    return df.drop(name)
+
+
 # Degrees
 
 
@@ -402,21 +463,21 @@ def pagerank(edges: DataFrame, iterations: int = 100, damping: float = 0.85, tol
     e = edges.select("src", "dst", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
     e = e.groupBy("src", "dst").agg(F.sum("w").alias("w")) if weight else e.distinct()
     e = cut_lineage(e.join(e.groupBy("src").agg(F.sum("w").alias("total")), "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
-    nodes = cut_lineage(nodes_of(edges))
+    nodes = cut_lineage(nodes_of(edges).join(e.select(F.col("src").alias("id"), F.lit(True).alias("passes")).distinct(), "id", "left").na.fill(False, ["passes"]))
     n = nodes.count()
     start = F.when(F.col("id") == reset, 1.0).otherwise(0.0) if reset is not None else F.lit(1.0 / max(n, 1))
-    rank = cut_lineage(nodes.select("id", start.alias("rank")))
+    rank = cut_lineage(nodes.select("id", start.alias("rank"), "passes"))
     for _ in range(iterations):
         got = e.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("got"))
-        new = cut_lineage(rank.join(got, "id", "left").select("id", F.col("rank").alias("old"), F.coalesce("got", F.lit(0.0)).alias("got")))
-        leak = 1 - (new.agg(F.sum("got")).first()[0] or 0.0)
-        add = F.when(F.col("id") == reset, leak).otherwise(0.0) if reset is not None else F.lit(leak / max(n, 1))
-        moved = new.select("id", "old", (F.col("got") + add).alias("rank"))
-        diff = moved.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
-        rank = cut_lineage(moved.select("id", "rank"))
-        if diff < tolerance:
+        # What dangling nodes hold and the damping takes is known from the old ranks, so a round is one job.
+        new = rank.join(got, "id", "left").select("id", F.col("rank").alias("old"), F.coalesce("got", F.lit(0.0)).alias("got"), "passes")
+        lost = rank.agg((1 - damping * F.sum(F.when(F.col("passes"), F.col("rank")).otherwise(0.0))).alias("leak"))
+        add = F.when(F.col("id") == reset, F.col("leak")).otherwise(0.0) if reset is not None else F.col("leak") / max(n, 1)
+        moved = cut_lineage(new.crossJoin(F.broadcast(lost)).select("id", (F.col("got") + add).alias("rank"), "passes", "old"))
+        rank = moved.drop("old")
+        if tolerance and (moved.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < tolerance:
             break
-    return rank
+    return rank.select("id", "rank")
 
 
 def hits(edges: DataFrame, iterations: int = 20) -> DataFrame:
@@ -456,6 +517,96 @@ def eigenvector(edges: DataFrame, iterations: int = 100, tolerance: float = 1e-4
 # Communities, core and periphery, cascades
 
 
+def neighbourhood_function(edges: DataFrame, directed: bool = True, hops: int = 32, lg_k: int = 12, growth: float = 0.001) -> DataFrame:
+    """hop and the estimated number of (node, reached node) pairs within it, each node counting itself at hop 0.
+
+    Every node holds a HyperLogLog sketch of the nodes it reaches and takes the union with its neighbours' in each round,
+    so the state is one sketch of fixed size a node; it ends when the sum grows by less than the share given.
+    """
+    e = cut_lineage(edges.select("src", "dst").distinct() if directed else symmetric(edges))
+    # Each sketch grows from those of the nodes its edges lead to.
+    state = cut_lineage(nodes_of(edges).groupBy("id").agg(F.hll_sketch_agg(F.col("id"), F.lit(lg_k)).alias("s")))
+    rows = [(0, float(state.count()))]
+    for h in range(1, hops + 1):
+        reached = e.join(state.select(F.col("id").alias("dst"), "s"), "dst").select(F.col("src").alias("id"), "s")
+        state = cut_lineage(state.unionByName(reached).groupBy("id").agg(F.hll_union_agg("s").alias("s")))
+        rows.append((h, float(state.agg(F.sum(F.hll_sketch_estimate("s"))).first()[0] or 0.0)))
+        if rows[-1][1] <= rows[-2][1] * (1 + growth):
+            break
+    return edges.sparkSession.createDataFrame(rows, "hop int, pairs double")
+
+
+def weighted_closeness(edges: DataFrame, weight: str) -> DataFrame:
+    """id, farness by least total weights over directed edges, corrected by the share of nodes reached."""
+    n = nodes_of(edges).agg(F.count(F.lit(1)).alias("n"))
+    e = cut_lineage(edges.groupBy("src", "dst").agg(F.min(weight).alias("w")))
+    dist = cut_lineage(nodes_of(edges).select(F.col("id").alias("source"), "id", F.lit(0.0).alias("dist")))
+    front = dist
+    while not front.isEmpty():
+        new = front.join(e.select(F.col("src").alias("id"), "dst", "w"), "id").groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
+        front = cut_lineage(new.join(dist, ["source", "id"], "left").where("dist is null or new < dist").select("source", "id", F.col("new").alias("dist")))
+        dist = cut_lineage(dist.join(front.select("source", "id"), ["source", "id"], "left_anti").unionByName(front))
+    d = dist.groupBy(F.col("source").alias("id")).agg(F.sum("dist").alias("total"), F.count(F.lit(1)).alias("reached"))
+    far = F.col("total") / (F.col("reached") - 1) * (F.col("n") - 1) / (F.col("reached") - 1)
+    return d.crossJoin(F.broadcast(n)).select("id", F.when(F.col("reached") > 1, far).otherwise(0.0).alias("farness"))
+
+
+def subtree_sizes(tree: DataFrame) -> DataFrame:
+    """id and the number of nodes below it (itself too) in a tree (id, parent): each node adds one to all its ancestors,
+    which are found level by level."""
+    step = cut_lineage(tree.select("id", "parent"))
+    here = cut_lineage(step.select("id", F.lit(1).cast("long").alias("n")))
+    total, up = here, step.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    up = cut_lineage(up)
+    while not up.isEmpty():
+        total = cut_lineage(total.unionByName(up).groupBy("id").agg(F.sum("n").alias("n")))
+        up = cut_lineage(up.join(step.where("parent is not null"), "id").groupBy(F.col("parent").alias("id")).agg(F.sum("n").alias("n")))
+    return total.select("id", F.col("n").alias("size"))
+
+
+def static_matches(edges: DataFrame, pattern: list[tuple[int, int]]) -> DataFrame:
+    """n0, n1, ...: the subgraphs that match a connected directed pattern with different nodes, each set of edges once."""
+    e = edges.select("src", "dst").where("src != dst").distinct()
+    found, bound, left = None, [], list(pattern)
+    while left:
+        u, v = left.pop(0) if found is None else left.pop(next(i for i, p in enumerate(left) if set(p) & set(bound)))
+        step = e.select(F.col("src").alias(f"n{u}"), F.col("dst").alias(f"n{v}"))
+        keys = [f"n{x}" for x in dict.fromkeys((u, v)) if x in bound]
+        fresh = [x for x in (u, v) if x not in bound]
+        found = step if found is None else found.join(step, keys)
+        for x in fresh:
+            for y in bound:
+                found = found.where(F.col(f"n{x}") != F.col(f"n{y}"))
+        bound += [x for x in fresh if x not in bound]
+    names = [f"n{x}" for x in sorted(bound)]
+    edge_set = F.array_sort(F.array(*[F.struct(F.col(f"n{u}").alias("a"), F.col(f"n{v}").alias("b")) for u, v in pattern]))
+    return found.withColumn("_e", edge_set).groupBy("_e").agg(F.min(F.struct(*names)).alias("m")).select("m.*")
+
+
+def matches_of_edges(edges: DataFrame, anchors: DataFrame, pattern: list[tuple[int, int]]) -> DataFrame:
+    """The matches of a pattern that use one of the edges in anchors (src, dst)."""
+    m = static_matches(edges, pattern)
+    ends = F.explode(F.array(*[F.struct(F.col(f"n{u}").alias("src"), F.col(f"n{v}").alias("dst")) for u, v in pattern]))
+    used = m.select("*", ends.alias("e")).select(*m.columns, "e.src", "e.dst")
+    return used.join(anchors.select("src", "dst").distinct(), ["src", "dst"], "left_semi").select(*m.columns).distinct()
+
+
+def squares_estimate(edges: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """One row: squares, estimated from wedges sampled by a hash: a square has two wedges over each of its diagonals, and
+    both of a pair are in the sample with the square of the share."""
+    s = symmetric(edges)
+    w = s.select(F.col("src").alias("b"), F.col("dst").alias("a")).join(s.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b").where("a < c")
+    drawn = w.where(F.pmod(F.xxhash64(F.lit(seed), "a", "b", "c"), F.lit(1 << 30)) < share * (1 << 30))
+    return drawn.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n")).agg((F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)) / 2 / (share * share)).alias("squares"))
+
+
+def group_triads(edges: DataFrame, group: DataFrame) -> DataFrame:
+    """inside and outside: triangles of group members (id) with two other members, and with none, summed over the members."""
+    t = triangles(edges).select("a", "b", "c", F.explode(F.array("a", "b", "c")).alias("id")).join(group.select("id", F.lit(1).alias("m")).distinct(), "id", "left").na.fill(0, ["m"])
+    per = t.groupBy("a", "b", "c").agg(F.sum("m").alias("m"))
+    return per.agg(F.coalesce(F.sum(F.when(F.col("m") == 3, 3)), F.lit(0)).alias("inside"), F.coalesce(F.sum(F.when(F.col("m") == 1, 1)), F.lit(0)).alias("outside"))
+
+
 def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """part, inside (edge ends), degree, modularity of each part of a partition (id, part)."""
     s = symmetric(edges)
@@ -472,11 +623,10 @@ def core_periphery(edges: DataFrame) -> DataFrame:
     """
     e = cut_lineage(canonical(edges))
     d = e.select(F.col("a").alias("id")).union(e.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
-    ranked = cut_lineage(d.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("d"), "id"))))
+    ranked = cut_lineage(numbered(d, [F.desc("d"), F.asc("id")], "rank").withColumn("rank", F.col("rank") + 1))
     pos = e.join(ranked.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(ranked.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
     later = pos.groupBy(F.greatest("ra", "rb").alias("rank")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    upto = ranked.join(later, "rank", "left").na.fill(0, ["n"]).select("id", "rank", F.sum("n").over(w).alias("inside"), F.sum("d").over(w).alias("ends"))
+    upto = prefix(ranked.join(later, "rank", "left").na.fill(0, ["n"]), ["rank"], {"inside": F.col("n"), "ends": F.col("d")})
     m = e.agg(F.count(F.lit(1)).alias("m"))
     # Edges outside: all, less those with an end in the prefix.
     cost = F.col("rank") * (F.col("rank") - 1) / 2 - F.col("inside") + F.col("m") - F.col("ends") + F.col("inside")

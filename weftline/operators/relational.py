@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
+from weftline.operators.order import numbered, prefix
+
 # Predicates
 
 
@@ -74,8 +76,9 @@ def threshold_join(left: DataFrame, key1: str, join1: str, right: DataFrame, key
     before the join, so it makes a row per pair of keys and value whatever the number of rows."""
     a = left.groupBy(F.col(key1).alias("key1"), F.col(join1).alias("value")).agg(F.count(F.lit(1)).alias("na"))
     b = right.groupBy(F.col(key2).alias("key2"), F.col(join2).alias("value")).agg(F.count(F.lit(1)).alias("nb"))
-    keys = ["key1", "key2"] + ["value"] * per_value
-    return a.join(b, "value").groupBy(*keys).agg(F.sum(F.col("na") * F.col("nb")).alias("matches")).where(F.col("matches") >= least)
+    if per_value:  # one row on each side for a key and value, so the products are the sums
+        return a.join(b, "value").select("key1", "key2", "value", (F.col("na") * F.col("nb")).alias("matches")).where(F.col("matches") >= least)
+    return a.join(b, "value").groupBy("key1", "key2").agg(F.sum(F.col("na") * F.col("nb")).alias("matches")).where(F.col("matches") >= least)
 
 
 def sim_join_l2(left: DataFrame, right: DataFrame, columns1: list[str], columns2: list[str], most: float) -> DataFrame:
@@ -104,19 +107,47 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 
 def sim_join_haversine(left: DataFrame, right: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, most_km: float) -> DataFrame:
-    """All pairs within most_km; columns must differ between the sides. Bands of latitude bound the candidates."""
-    band = most_km / EARTH_KM * 180 / 3.141592653589793
-    a = left.withColumn("_b", F.floor(F.col(lat1) / band))
+    """All pairs within most_km; columns must differ between the sides. Cells of latitude bands, cut by longitude where
+    the band is not too near a pole, bound the candidates."""
+    half = min(most_km / EARTH_KM / 2, 1.5707963)
+    band = 2 * half * 180 / 3.141592653589793
+    # The least cosine of the latitudes of a band and its neighbours bounds the difference of longitudes of a pair.
+    far = lambda t: F.least(F.greatest(F.abs((t - 1) * band), F.abs((t + 2) * band)), F.lit(90.0))
+    width = lambda t: F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sin(F.lit(half)) / F.greatest(F.cos(F.radians(far(t))), F.lit(1e-9)))))
+    cells = lambda t: F.greatest(F.lit(1), F.floor(360 / (width(t) * 1.0001))).cast("long")
+    cell = lambda lon, n: F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * n)
+    a = left.withColumn("_b", F.floor(F.col(lat1) / band)).withColumn("_c", cell(F.col(lon1), cells(F.col("_b"))))
     b = right.withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda x: F.floor(F.col(lat2) / band) + x)))
-    return a.join(b, "_b").drop("_b").withColumn("distance", haversine(F.col(lat1), F.col(lon1), F.col(lat2), F.col(lon2))).where(F.col("distance") <= most_km)
+    b = b.withColumn("_n", cells(F.col("_b"))).withColumn("_m", cell(F.col(lon2), F.col("_n")))
+    b = b.withColumn("_c", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda x: F.pmod(F.col("_m") + x, F.col("_n")))))).drop("_n", "_m")
+    return a.join(b, ["_b", "_c"]).drop("_b", "_c").withColumn("distance", haversine(F.col(lat1), F.col(lon1), F.col(lat2), F.col(lon2))).where(F.col("distance") <= most_km)
+
+
+def sim_join_l1(left: DataFrame, right: DataFrame, columns1: list[str], columns2: list[str], most: float) -> DataFrame:
+    """All pairs at a sum of absolute differences of most or less: the Euclidean join's pairs, which contain them, checked."""
+    both = set(left.columns) & set(right.columns)
+    name = lambda c, i: F.col(f"{c}_{i}" if c in both else c)
+    distance = sum((F.abs(name(x, 1) - name(y, 2)) for x, y in zip(columns1, columns2, strict=True)), F.lit(0.0))
+    return sim_join_l2(left, right, columns1, columns2, most).withColumn("distance", distance).where(F.col("distance") <= most)
+
+
+def sim_join(left: DataFrame, right: DataFrame, columns1: list[str], columns2: list[str], most: float, kind: str = "l2") -> DataFrame:
+    """The join of a kind: l1, l2 or haversine (latitude and longitude); others raise NotImplementedError."""
+    if kind == "haversine":
+        return sim_join_haversine(left, right, *columns1, *columns2, most)
+    if kind not in ("l1", "l2"):
+        raise NotImplementedError(f"no similarity join by {kind}")
+    return (sim_join_l1 if kind == "l1" else sim_join_l2)(left, right, columns1, columns2, most)
 
 
 def jaccard_groups(df: DataFrame, groups: list[str], value: str, most: float = 1.0) -> DataFrame:
-    """Ordered pairs of groups, themselves included, at Jaccard distance most or less; only pairs that share a value."""
+    """Ordered pairs of groups, themselves included, at Jaccard distance most or less. Below 1 only pairs that share a
+    value are formed; at 1 all pairs belong to the result, as many as the square of the groups."""
     sets = df.select(F.struct(*groups).alias("g"), F.col(value).alias("v")).where("v is not null").distinct()
     sizes = sets.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     common = sets.select(F.col("g").alias("g1"), "v").join(sets.select(F.col("g").alias("g2"), "v"), "v").groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("common"))
-    both = common.join(sizes.select(F.col("g").alias("g1"), F.col("n").alias("n1")), "g1").join(sizes.select(F.col("g").alias("g2"), F.col("n").alias("n2")), "g2")
+    one, two = (sizes.select(F.col("g").alias(f"g{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
+    both = common.join(one, "g1").join(two, "g2") if most < 1 else one.crossJoin(two).join(common, ["g1", "g2"], "left").na.fill(0, ["common"])
     distance = 1 - F.col("common") / (F.col("n1") + F.col("n2") - F.col("common"))
     return both.withColumn("distance", distance).where(F.col("distance") <= most).select(*[F.col(f"g{i}.{g}").alias(f"{g}_{i}") for i in (1, 2) for g in groups], "distance")
 
@@ -129,9 +160,11 @@ def next_k(df: DataFrame, order: list[str], k: int, groups: list[str], columns:
     return rows.select(*groups, *[f"{c}_1" for c in columns], F.explode("after").alias("a")).select(*groups, *[f"{c}_1" for c in columns], *[F.col(f"a.r.{c}").alias(f"{c}_2") for c in columns], F.col("a.step").alias("step"))
 
 
-def update_from(df: DataFrame, key: str, column: str, other: DataFrame, other_key: str, other_column: str, default: float) -> DataFrame:
-    """df with column taken from other by key, default where it has none. Of equal keys the largest value counts."""
-    found = other.groupBy(F.col(other_key).alias("_k")).agg(F.max(other_column).alias("_v"))
+def update_from(df: DataFrame, key: str, column: str, other: DataFrame, other_key: str, other_column: str, default: float, order: str | None = None) -> DataFrame:
+    """df with column taken from other by key, default where it has none. Of equal keys the last by order counts, without
+    an order the largest value."""
+    value = F.max_by(other_column, order) if order else F.max(other_column)
+    found = other.groupBy(F.col(other_key).alias("_k")).agg(value.alias("_v"))
     return df.drop(column).join(found, F.col(key) == F.col("_k"), "left").withColumn(column, F.coalesce("_v", F.lit(default))).drop("_k", "_v")
 
 
@@ -186,8 +219,7 @@ def group_ids(df: DataFrame, columns: list[str], result: str, ordered: bool = Tr
     """Rows with a number for each distinct combination, in its order; unordered: the columns' values in any order are one."""
     key = F.struct(*columns) if ordered else F.array_sort(F.array(*columns))
     rows = df.withColumn("_key", key)
-    numbered = rows.select("_key").distinct().withColumn(result, (F.row_number().over(Window.orderBy("_key")) - 1).cast("long"))
-    return rows.join(numbered, "_key").drop("_key")
+    return rows.join(numbered(rows.select("_key").distinct(), ["_key"], result), "_key").drop("_key")
 
 
 def unique(df: DataFrame, columns: list[str], order: str, ordered: bool = True) -> DataFrame:
@@ -200,9 +232,10 @@ def unique(df: DataFrame, columns: list[str], order: str, ordered: bool = True)
 def distribution(df: DataFrame, value: str) -> DataFrame:
     """value, n, pdf, cdf and ccdf (share at or above)."""
     counts = df.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    upto = F.sum("n").over(Window.orderBy("value"))
-    return counts.select("value", "n", (F.col("n") / total).alias("pdf"), (upto / total).alias("cdf"), ((total - upto + F.col("n")) / total).alias("ccdf"))
+    summed = prefix(counts, ["value"], {"upto": F.col("n")})
+    total, upto = F.col("total"), F.col("upto")
+    all_ = counts.agg(F.sum("n").alias("total"))
+    return summed.crossJoin(F.broadcast(all_)).select("value", "n", (F.col("n") / total).alias("pdf"), (upto / total).alias("cdf"), ((total - upto + F.col("n")) / total).alias("ccdf"))
 
 
 def exponential_bins(df: DataFrame, value: str, base: float = 2.0) -> DataFrame:
@@ -237,8 +270,57 @@ def chi_square(df: DataFrame, observed: str, expected: str) -> DataFrame:
 def ks_distance(df: DataFrame, value: str, sample: str) -> DataFrame:
     """Largest distance between the distributions of the two samples (0 and 1 in the column sample)."""
     c = df.groupBy(value).agg(F.sum((F.col(sample) == 0).cast("long")).alias("a"), F.sum((F.col(sample) == 1).cast("long")).alias("b"))
-    up, all_ = Window.orderBy(value), Window.partitionBy(F.lit(0))
-    return c.select(F.abs(F.sum("a").over(up) / F.sum("a").over(all_) - F.sum("b").over(up) / F.sum("b").over(all_)).alias("d")).agg(F.max("d").alias("ks"))
+    all_ = c.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    upto = prefix(c, [value], {"ua": F.col("a"), "ub": F.col("b")}).crossJoin(F.broadcast(all_))
+    return upto.agg(F.max(F.abs(F.col("ua") / F.col("na") - F.col("ub") / F.col("nb"))).alias("ks"))
+
+
+def histogram(df: DataFrame, value: str, least: float, most: float, bins: int) -> DataFrame:
+    """bin 1..bins and n over [least, most]; values outside are left out, most itself is in the last bin."""
+    inside = df.where(F.col(value).between(least, most))
+    at = F.least(F.floor((F.col(value) - least) / ((most - least) / bins)) + 1, F.lit(bins)).cast("int")
+    return inside.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def least_squares(df: DataFrame, xs: list[str], y: str) -> DataFrame:
+    """term and coefficient of the linear model of y by xs and an intercept: the normal equations are summed over the
+    cluster, and the system of len(xs) + 1 unknowns is solved on the driver."""
+    import numpy as np
+
+    columns = [F.lit(1.0), *[F.col(x).cast("double") for x in xs], F.col(y).cast("double")]
+    n = len(columns)
+    sums = df.na.drop(subset=[*xs, y]).agg(*[F.sum(columns[i] * columns[j]) for i in range(n) for j in range(i, n)]).first()
+    gram = np.zeros((n, n))
+    gram[np.triu_indices(n)] = [x or 0.0 for x in sums]
+    gram += np.triu(gram, 1).T
+    found = np.linalg.lstsq(gram[:-1, :-1], gram[:-1, -1], rcond=None)[0]
+    return df.sparkSession.createDataFrame(list(zip(["intercept", *xs], map(float, found), strict=True)), "term string, coefficient double")
+
+
+# Columns and groups as values
+
+
+def column_values(df: DataFrame, column: str, order: str, limit: int = 1_000_000) -> list:
+    """The values of a column in order, on the driver; more than limit raise an error."""
+    rows = df.orderBy(order).select(column).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows")
+    return [r[0] for r in rows]
+
+
+def append_column(df: DataFrame, order: str, values: list, result: str, kind: str) -> DataFrame:
+    """df with the values as a column, the first at the first row by order; as many values as rows."""
+    given = df.sparkSession.createDataFrame(list(enumerate(values)), f"_row long, {result} {kind}")
+    out = numbered(df, [order], "_row")
+    if out.count() != len(values):
+        raise ValueError("the number of values is not that of the rows")
+    return out.join(given, "_row").drop("_row")
+
+
+def splice_by_group(df: DataFrame, groups: list[str], path: str) -> list[tuple]:
+    """One folder of Parquet files a group under path, groups being columns of the folders' names; returns the groups."""
+    df.repartition(*groups).write.mode("errorifexists").partitionBy(*groups).parquet(path)
+    return [tuple(r) for r in df.sparkSession.read.parquet(path).select(*groups).distinct().orderBy(*groups).collect()]
 
 
 # Order
@@ -253,7 +335,7 @@ def rank(df: DataFrame, columns: list[str], tie: str, result: str = "rank", asce
     if reset:
         return df.withColumn(result, (F.row_number().over(Window.partitionBy(columns[0]).orderBy(*keys[1:])) - 1).cast("long"))
     if coarse is None:
-        return df.withColumn(result, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
+        return numbered(df, keys, result)
     rows = df.withColumn("_c", coarse)
     sizes = rows.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
     by = F.col("_c").asc() if ascending else F.col("_c").desc()

@@ -19,10 +19,14 @@ MAX_HYPEREDGES = 2_000_000
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder the session names; a temporary folder where it names none (tests)."""
+    """df as a checkpoint in the shared folder the session names. Where it names none, a temporary folder with a local
+    master, and an error with any other."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir is unset; executors need a folder they all share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="weftline-"))
     return df.checkpoint(eager=True)
 
 
@@ -221,13 +225,13 @@ def estimate_spread(edges: DataFrame, motif: Motif, delta: int, runs: int = 5, s
     return total.select("node", (F.col("s") / runs).alias("mean"), F.sqrt(F.greatest(F.col("q") / runs - F.pow(F.col("s") / runs, 2), F.lit(0.0))).alias("deviation"))
 
 
-def prob_peel(edges: DataFrame, motif: Motif, delta: int, samples: int = 100, xi: float = 0.01, seed: int = 0, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+def prob_peel(edges: DataFrame, motif: Motif, delta: int, samples: int = 100, xi: float = 0.01, seed: int = 0, rounds: int | None = None, decay: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Batch peeling on estimates drawn anew each round. Returns the best set's nodes and the edges left at the end."""
     from weftline.plans.motifs import induced
 
     left, best, best_nodes, n = edges, -1.0, None, 0
     while rounds is None or n < rounds:
-        hyper = cut_lineage(sampled_hyperedges(left, motif, delta, samples, seed + n))
+        hyper = cut_lineage(sampled_hyperedges(left, motif, delta, samples, seed + n, decay))
         alive = cut_lineage(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct())
         size, tau = alive.count(), hyper.agg(F.sum("w")).first()[0] or 0.0
         if size < motif.k or not tau:
@@ -242,10 +246,10 @@ def prob_peel(edges: DataFrame, motif: Motif, delta: int, samples: int = 100, xi
     return nodes, left
 
 
-def hybrid_peel(edges: DataFrame, motif: Motif, delta: int, samples: int = 100, xi: float = 0.01, seed: int = 0, rounds: int = 2) -> tuple[list[int], float]:
+def hybrid_peel(edges: DataFrame, motif: Motif, delta: int, samples: int = 100, xi: float = 0.01, seed: int = 0, rounds: int = 2, decay: float | None = None) -> tuple[list[int], float]:
     """Some rounds on estimates, then greedy peeling on the exact instances of what is left."""
-    _, left = prob_peel(edges, motif, delta, samples, xi, seed, rounds)
-    return greedy_peel(collect_hyperedges(hyperedges(instances(left, motif, delta), motif)), motif.k)
+    _, left = prob_peel(edges, motif, delta, samples, xi, seed, rounds, decay)
+    return greedy_peel(collect_hyperedges(hyperedges(instances(left, motif, delta), motif, decay)), motif.k)
 
 
 def densest(edges: DataFrame, motif: Motif, delta: int, algorithm: str = "batch", decay: float | None = None, xi: float = 0.01, samples: int = 100, rounds: int = 2, seed: int = 0) -> DataFrame:
@@ -258,12 +262,12 @@ def densest(edges: DataFrame, motif: Motif, delta: int, algorithm: str = "batch"
         found, density = (greedy_peel if algorithm == "greedy" else exact_densest)(sets, motif.k)
         nodes = spark.createDataFrame([(x,) for x in found], "node long")
     elif algorithm == "hybrid":
-        found, density = hybrid_peel(edges, motif, delta, samples, xi, seed, rounds)
+        found, density = hybrid_peel(edges, motif, delta, samples, xi, seed, rounds, decay)
         nodes = spark.createDataFrame([(x,) for x in found], "node long")
     elif algorithm == "probpeel":
         from weftline.plans.motifs import evaluate
 
-        nodes, _ = prob_peel(edges, motif, delta, samples, xi, seed)
+        nodes, _ = prob_peel(edges, motif, delta, samples, xi, seed, decay=decay)
         density = evaluate(edges, nodes, motif, delta, decay).first()["density"]
     else:
         raise ValueError(f"unknown algorithm {algorithm}")

@@ -71,7 +71,7 @@ def _motif_sql(m: str, delta: int, select: str, more: str = "") -> str:
     return f"{_G}, m as materialized (select {cols}, ({decay}) / {n - 1} as w from {', '.join(tables)} where {' and '.join(where)}){more} {select}"
 
 
-for _m, _delta in (("m1", DAY), ("m2", DAY), ("m3", DAY), ("m4", DAY), ("m5", 21600), ("m6", DAY), ("m7", DAY), ("m8", DAY), ("m9", 21600), ("m10", 21600)):
+for _m, _delta in (("m1", DAY), ("m2", DAY), ("m3", DAY), ("m4", DAY), ("m5", DAY), ("m6", DAY), ("m7", DAY), ("m8", DAY), ("m9", DAY), ("m10", DAY)):
 
     @_query(_motif_sql(_m, _delta, "select count(*)::bigint as instances from m"), f"motif_{_m}_count")
     def _count(spark, sf_dir, m=_m, delta=_delta):
@@ -116,34 +116,35 @@ def motif_induced_eval(spark, sf_dir):
     return M.evaluate(event_graph(spark, sf_dir), nodes, M.MOTIFS["m3"], DAY).select("instances", r6("density").alias("density"))
 
 
-@_query(
-    _motif_sql(
-        "m3", DAY, "select node from d1 where c > (select 3.03 * tau / n from s1)",
-        _H + ", d1 as materialized (select node, sum(c) as c from (select unnest(nodes) as node, c from h) group by 1), s1 as (select (select sum(c) from h) as tau, (select count(*) from d1) as n)",
-    )
-)
-def motif_batch_peel_round1(spark, sf_dir):
-    hyper = D.cut_lineage(_hyper(spark, sf_dir).select("nodes", "w"))
-    degree = M.node_degrees(hyper.withColumn("cnt", F.lit(1)))
-    tau, n = hyper.agg(F.sum("w")).first()[0] or 0.0, degree.count()
-    return degree.where(F.col("w") > 3 * 1.01 * tau / max(n, 1)).select("node")
+def _batch_sql(k: int, xi: float, rounds: int) -> str:
+    """Rounds of batch peeling unrolled; those after the last have no nodes."""
+    text = f"{_H}, h1 as materialized (select nodes, c::double as w from h)"
+    for i in range(1, rounds + 1):
+        alive = f"select distinct unnest(nodes) as node from h{i}" if i == 1 else f"select node from d{i - 1}, s{i - 1} where c > {k * (1 + xi)} * tau / n and n > {k}"
+        text += f", a{i} as materialized ({alive})"
+        if i > 1:
+            text += f", h{i} as materialized (select nodes, w from h{i - 1} where list_has_all((select list(node) from a{i}), nodes))"
+        text += f", d{i} as materialized (select node, sum(w) as c from (select unnest(nodes) as node, w from h{i}) group by 1), s{i} as materialized (select coalesce((select sum(w) from h{i}), 0) as tau, (select count(*) from a{i}) as n)"
+    best = " union all ".join(f"select {i} as i, tau / n as rho from s{i} where n >= {k}" for i in range(1, rounds + 1))
+    nodes = " union all ".join(f"select {i} as i, node from a{i}" for i in range(1, rounds + 1))
+    return _motif_sql("m3", DAY, "select 'batch' as algorithm, node, round(rho, 6) as density from top join x using (i)", f"{text}, top as (select i, rho from ({best}) order by rho desc, i limit 1), x as ({nodes})")
 
 
 for _a in ("greedy", "batch", "exact", "hybrid", "probpeel"):
 
-    @_query(name=f"tmds_{_a}")
+    @_query(_batch_sql(3, 0.01, 14) if _a == "batch" else None, name=f"tmds_{_a}")
     def _tmds(spark, sf_dir, a=_a):
-        return D.densest(event_graph(spark, sf_dir), M.MOTIFS["m3"], DAY, a, samples=40)
+        return D.densest(event_graph(spark, sf_dir), M.MOTIFS["m3"], DAY, a).withColumn("density", r6("density"))
 
 
 @_query()
 def motif_sampling_spread(spark, sf_dir):
-    return D.estimate_spread(event_graph(spark, sf_dir), M.MOTIFS["m3"], DAY, 3, 40)
+    return D.estimate_spread(event_graph(spark, sf_dir), M.MOTIFS["m3"], DAY, 3)
 
 
 @_query()
 def motif_xi_sweep(spark, sf_dir):
-    return D.sweep(spark, event_graph(spark, sf_dir), M.MOTIFS["m3"], DAY, [20], [0.01, 0.1])
+    return D.sweep(spark, event_graph(spark, sf_dir), M.MOTIFS["m3"], DAY, [100], [0.01, 0.1])
 
 
 @_query(f"{_G}, o as (select src as node, dst as other, 1 as o from g union all select dst, src, 0 from g), p as (select node, other, sum(o) as o, sum(1 - o) as i from o group by all) select node, sum(o)::bigint as t_out, sum(i)::bigint as t_in, sum((o > 0)::int)::bigint as s_out, sum((i > 0)::int)::bigint as s_in, count(*) as s_any from p group by node")
@@ -203,29 +204,14 @@ def _lines(spark, sf_dir):
     return R.join(_t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "orders"), "l_orderkey", "o_orderkey").select("o_custkey", "l_suppkey", "l_partkey")
 
 
-@_query(f"with l as ({_LINES}), x as (select * from l where o_custkey % 7 = 0) select a.o_custkey as key1, b.o_custkey as key2, count(*) as matches from x a join x b on a.l_suppkey = b.l_suppkey group by all having count(*) >= 60")
+@_query(f"with l as ({_LINES}), x as materialized (select * from l) select a.o_custkey as key1, b.o_custkey as key2, count(*) as matches from x a join x b on a.l_suppkey = b.l_suppkey group by all having count(*) >= 60")
 def join_threshold(spark, sf_dir):
-    x = _lines(spark, sf_dir).where("o_custkey % 7 = 0")
-    return R.threshold_join(x, "o_custkey", "l_suppkey", x, "o_custkey", "l_suppkey", 60)
-
-
-@_query(f"with l as ({_LINES}), x as (select * from l where o_custkey % 7 = 0) select a.o_custkey as key1, b.o_custkey as key2, a.l_suppkey as value, count(*) as matches from x a join x b on a.l_suppkey = b.l_suppkey group by all having count(*) >= 12")
-def join_threshold_per_key(spark, sf_dir):
-    x = _lines(spark, sf_dir).where("o_custkey % 7 = 0")
-    return R.threshold_join(x, "o_custkey", "l_suppkey", x, "o_custkey", "l_suppkey", 12, per_value=True)
-
-
-# The SQL of the two above joins a seventh of the customers; these join all of them.
-
-
-@_query()
-def join_threshold_all(spark, sf_dir):
     x = _lines(spark, sf_dir)
     return R.threshold_join(x, "o_custkey", "l_suppkey", x, "o_custkey", "l_suppkey", 60)
 
 
-@_query()
-def join_threshold_per_key_all(spark, sf_dir):
+@_query(f"with l as ({_LINES}), x as materialized (select * from l) select a.o_custkey as key1, b.o_custkey as key2, a.l_suppkey as value, count(*) as matches from x a join x b on a.l_suppkey = b.l_suppkey group by all having count(*) >= 12")
+def join_threshold_per_key(spark, sf_dir):
     x = _lines(spark, sf_dir)
     return R.threshold_join(x, "o_custkey", "l_suppkey", x, "o_custkey", "l_suppkey", 12, per_value=True)
 
@@ -500,22 +486,17 @@ def _pairs(spark, sf_dir):
 
 
 def _on_pairs(sql: str):
-    """Adds f(edges) as NAME over the sparser graph that the SQL has, and as NAME_all, without SQL, over every pair."""
+    """Adds f(edges) over every pair of the event graph as a query."""
 
     def add(f):
-        _query(sql, f.__name__)(lambda spark, sf_dir: f(_twice(spark, sf_dir)))
-        _query(name=f"{f.__name__}_all")(lambda spark, sf_dir: f(_pairs(spark, sf_dir)))
+        _query(sql, f.__name__)(lambda spark, sf_dir: f(_pairs(spark, sf_dir)))
         return f
 
     return add
 
 
-#: A sparser graph for patterns: pairs with two events or more.
-_TWICE = f"{_G}, p as materialized (select src, dst from g group by all having count(*) >= 2), q as materialized (select src, dst from p union select dst, src from p)"
-
-
-def _twice(spark, sf_dir):
-    return event_graph(spark, sf_dir).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("src", "dst")
+#: The distinct pairs and, symmetric, q.
+_PAIRS = f"{_G}, p as materialized (select distinct src, dst from g), q as materialized (select src, dst from u)"
 
 
 @_query(f"{_G}, d as (select id, count(*) as deg from (select src as id from g union all select dst from g) group by 1) select deg as degree, count(*) as n from d group by 1")
@@ -543,28 +524,28 @@ def degree_centrality(spark, sf_dir):
     return G.degree_centrality(_graph(spark, sf_dir)).select("id", r6("centrality").alias("centrality"))
 
 
-@_on_pairs(f"{_TWICE}, n as (select 1::bigint as id union select dst from p where src = 1 union select src from p where dst = 1) select src, dst from p where src in (select id from n) and dst in (select id from n)")
+@_on_pairs(f"{_PAIRS}, n as (select 1::bigint as id union select dst from p where src = 1 union select src from p where dst = 1) select src, dst from p where src in (select id from n) and dst in (select id from n)")
 def egonet(e):
     return G.egonet(e, 1)[0]
 
 
-@_on_pairs(f"{_TWICE} select src, dst from p where src % 2 = 0 and dst % 2 = 0")
+@_on_pairs(f"{_PAIRS} select src, dst from p where src % 2 = 0 and dst % 2 = 0")
 def subgraph(e):
     return G.induced(e, G.nodes_of(e).where("id % 2 = 0"))
 
 
-@_on_pairs(f"{_TWICE}, m as (select count(*) as m2 from q), s as (select src % 3 as part, sum((src % 3 = dst % 3)::int)::bigint as inside, count(*) as degree from q group by 1) select part, inside, degree, round((inside - degree * degree / m2) / m2, 6) as modularity from s, m")
+@_on_pairs(f"{_PAIRS}, m as (select count(*) as m2 from q), s as (select src % 3 as part, sum((src % 3 = dst % 3)::int)::bigint as inside, count(*) as degree from q group by 1) select part, inside, degree, round((inside - degree * degree / m2) / m2, 6) as modularity from s, m")
 def modularity_of_partition(e):
     parts = G.nodes_of(e).withColumn("part", F.col("id") % 3)
     return G.modularity(e, parts).withColumn("modularity", r6("modularity"))
 
 
-@_on_pairs(f"{_TWICE} select count(*) as triangles from q a join q b on a.dst = b.src join q c on b.dst = c.src and c.dst = a.src where a.src < a.dst and a.dst < b.dst")
+@_on_pairs(f"{_PAIRS} select count(*) as triangles from q a join q b on a.dst = b.src join q c on b.dst = c.src and c.dst = a.src where a.src < a.dst and a.dst < b.dst")
 def triangle_count(e):
     return G.triangle_count(e)
 
 
-_TRIADS = f"{_TWICE}, w as (select a.src as id, exists (select 1 from q c where c.src = a.dst and c.dst = b.dst) as closed from q a join q b on a.src = b.src and a.dst < b.dst), t as (select n.id, coalesce(sum(closed::int), 0)::bigint as closed, coalesce(sum(1 - closed::int), 0)::bigint as open from (select distinct src as id from q) n left join w on n.id = w.id group by 1)"
+_TRIADS = f"{_PAIRS}, w as (select a.src as id, exists (select 1 from q c where c.src = a.dst and c.dst = b.dst) as closed from q a join q b on a.src = b.src and a.dst < b.dst), t as (select n.id, coalesce(sum(closed::int), 0)::bigint as closed, coalesce(sum(1 - closed::int), 0)::bigint as open from (select distinct src as id from q) n left join w on n.id = w.id group by 1)"
 
 
 @_on_pairs(f"{_TRIADS} select id, closed, open from t")
@@ -577,55 +558,43 @@ def clustering_coeff(e):
     return G.clustering(e).select("id", r6("cc").alias("cc"))
 
 
-@_on_pairs(f"{_TWICE} select a.dst as a, b.dst as b, count(*) as common from q a join q b on a.src = b.src and a.dst < b.dst group by 1, 2")
+@_on_pairs(f"{_PAIRS} select a.dst as a, b.dst as b, count(*) as common from q a join q b on a.src = b.src and a.dst < b.dst group by 1, 2")
 def common_neighbors(e):
     return G.common_neighbors(e)
 
 
-@_on_pairs(f"{_TWICE}, d as (select src, count(*) as d from q group by 1), s as (select q.src, dst, 1 / d as p from q join d on q.src = d.src), i as (select a.src, b.dst, sum(a.p * b.p) as i from s a join s b on a.dst = b.src where a.src <> b.dst group by all) select s.src as id, round(sum((p + coalesce(i, 0)) ** 2), 6) as constr from s left join i on s.src = i.src and s.dst = i.dst group by 1")
+@_on_pairs(f"{_PAIRS}, d as (select src, count(*) as d from q group by 1), s as (select q.src, dst, 1 / d as p from q join d on q.src = d.src), i as (select a.src, b.dst, sum(a.p * b.p) as i from s a join s b on a.dst = b.src where a.src <> b.dst group by all) select s.src as id, round(sum((p + coalesce(i, 0)) ** 2), 6) as constr from s left join i on s.src = i.src and s.dst = i.dst group by 1")
 def network_constraint(e):
     return G.network_constraint(e).select("id", r6("constraint").alias("constr"))
 
 
-@_on_pairs(f"{_TWICE}, w as (select a.src as b, a.dst as a, c.dst as c from q a join q c on a.src = c.src where a.dst < c.dst and a.dst < a.src) select count(*) as squares from w x join w y on x.a = y.a and x.c = y.c where x.b < y.b")
+@_on_pairs(f"{_PAIRS}, w as (select a.src as b, a.dst as a, c.dst as c from q a join q c on a.src = c.src where a.dst < c.dst and a.dst < a.src) select count(*) as squares from w x join w y on x.a = y.a and x.c = y.c where x.b < y.b")
 def squares(e):
     return G.squares(e).agg(F.count(F.lit(1)).alias("squares"))
 
 
-@_on_pairs(f"{_TWICE} select x.src as a, x.dst as b, y.dst as c from p x join p y on x.dst = y.src join p z on y.dst = z.src and z.dst = x.src where x.src < x.dst and x.src < y.dst")
+@_on_pairs(f"{_PAIRS} select x.src as a, x.dst as b, y.dst as c from p x join p y on x.dst = y.src join p z on y.dst = z.src and z.dst = x.src where x.src < x.dst and x.src < y.dst")
 def directed_triangles(e):
     return G.directed_triangles(e)
 
 
-_ORDERS = "with g as materialized (select distinct o_custkey as src, l_suppkey as dst from lineitem join orders on l_orderkey = o_orderkey where o_custkey % 5 = 0)"
+_ORDERS = "with g as materialized (select distinct o_custkey as src, l_suppkey as dst from lineitem join orders on l_orderkey = o_orderkey)"
 
 
 @_query(f"{_ORDERS}, n as (select src, count(*) as n from g group by 1), c as (select a.src as a, b.src as b, count(*) as c from g a join g b on a.dst = b.dst and a.src <> b.src group by 1, 2), s as (select a, b, c / (x.n + y.n - c) as s from c join n x on a = x.src join n y on b = y.src) select a, b, round(s, 6) as similarity from s qualify row_number() over (partition by a order by s desc, b) <= 3")
 def knn_jaccard(spark, sf_dir):
-    e = order_graph(spark, sf_dir).where("src % 5 = 0").select("src", "dst")
-    return G.knn_jaccard(e, 3).select("a", "b", r6("similarity").alias("similarity"))
-
-
-@_query()
-def knn_jaccard_all(spark, sf_dir):
-    """Of all sources; the SQL of knn_jaccard takes a fifth of them."""
     return G.knn_jaccard(order_graph(spark, sf_dir).select("src", "dst"), 3).select("a", "b", r6("similarity").alias("similarity"))
 
 
-_BFS = f"{_TWICE}, b as (select 1::bigint as id, 0 as dist union select p.dst, dist + 1 from b join p on b.id = p.src where dist < 12)"
+_BFS = f"{_PAIRS}, b as (select 1::bigint as id, 0 as dist union select p.dst, dist + 1 from b join p on b.id = p.src where dist < 40)"
 
 
 @_query(f"{_BFS} select id, min(dist) as dist from b group by 1")
 def bfs_distance(spark, sf_dir):
-    return G.bfs(_twice(spark, sf_dir), spark.createDataFrame([(1,)], "id long"), hops=12).select("id", "dist")
-
-
-@_query()
-def bfs_distance_all(spark, sf_dir):
     return G.bfs(_pairs(spark, sf_dir), spark.createDataFrame([(1,)], "id long")).select("id", "dist")
 
 
-_ALL = f"{_TWICE}, b as (select src as s, src as id, 0 as dist from (select distinct src from q) union select s, q.dst, dist + 1 from b join q on b.id = q.src where dist < 9), d as (select s, id, min(dist) as dist from b group by 1, 2)"
+_ALL = f"{_PAIRS}, b as (select src as s, src as id, 0 as dist from (select distinct src from q) union select s, q.dst, dist + 1 from b join q on b.id = q.src where dist < 9), d as (select s, id, min(dist) as dist from b group by 1, 2)"
 
 
 @_on_pairs(f"{_ALL} select s as id, max(dist) as eccentricity from d group by 1")
@@ -643,18 +612,18 @@ def distance_distribution(e):
     return G.distance_distribution(e)
 
 
-@_on_pairs(f"{_TWICE}, b as (select src as id, src as root from q union select q.dst, root from b join q on b.id = q.src) select id, min(root) as root from b group by 1")
+@_on_pairs(f"{_PAIRS}, b as (select src as id, src as root from q union select q.dst, root from b join q on b.id = q.src) select id, min(root) as root from b group by 1")
 def wcc(e):
     return G.weak_components(e)
 
 
-@_on_pairs(f"{_TWICE}, b as (select src as id, src as x from (select src from p union select dst from p) union select b.id, p.dst from b join p on b.x = p.src) select b.id, min(b.x) as root from b join b c on b.id = c.x and b.x = c.id group by 1")
+@_on_pairs(f"{_PAIRS}, b as (select src as id, src as x from (select src from p union select dst from p) union select b.id, p.dst from b join p on b.x = p.src) select b.id, min(b.x) as root from b join b c on b.id = c.x and b.x = c.id group by 1")
 def scc(e):
     return G.strong_components(e)
 
 
 def _core_sql(k: int, rounds: int) -> str:
-    text, last = _TWICE, "q"
+    text, last = _PAIRS, "q"
     for i in range(1, rounds + 1):
         text += f", d{i} as materialized (select src from {last} group by 1 having count(*) >= {k}), c{i} as materialized (select src, dst from {last} where src in (select src from d{i}) and dst in (select src from d{i}))"
         last = f"c{i}"
@@ -667,7 +636,7 @@ def kcore_3(e):
 
 
 def _pagerank_sql(rounds: int) -> str:
-    text = f"{_TWICE}, o as materialized (select src, count(*) as o from p group by 1), n as materialized (select distinct id from (select src as id from p union select dst from p)), r0 as (select id, 1.0::double / (select count(*) from n) as r from n)"
+    text = f"{_PAIRS}, o as materialized (select src, count(*) as o from p group by 1), n as materialized (select distinct id from (select src as id from p union select dst from p)), r0 as (select id, 1.0::double / (select count(*) from n) as r from n)"
     for i in range(1, rounds + 1):
         text += f", s{i} as materialized (select n.id, coalesce(sum(0.85 * r / o.o), 0) as r from n left join p on p.dst = n.id left join o on o.src = p.src left join r{i - 1} x on x.id = p.src group by 1), r{i} as materialized (select id, r + (1 - (select sum(r) from s{i})) / (select count(*) from n) as r from s{i})"
     return f"{text} select id, round(r, 6) as rank from r{rounds}"
@@ -679,7 +648,7 @@ def pagerank_10(e):
 
 
 def _hits_sql(rounds: int) -> str:
-    text = f"{_TWICE}, n as materialized (select distinct id from (select src as id from p union select dst from p)), h0 as (select id, 1.0::double as h from n)"
+    text = f"{_PAIRS}, n as materialized (select distinct id from (select src as id from p union select dst from p)), h0 as (select id, 1.0::double as h from n)"
     for i in range(1, rounds + 1):
         text += f", x{i} as materialized (select n.id, coalesce(sum(h), 0) as a from n left join p on p.dst = n.id left join h{i - 1} h on h.id = p.src group by 1), a{i} as materialized (select id, a / (select sqrt(sum(a * a)) from x{i}) as a from x{i}), y{i} as materialized (select n.id, coalesce(sum(a), 0) as h from n left join p on p.src = n.id left join a{i} a on a.id = p.dst group by 1), h{i} as materialized (select id, h / (select sqrt(sum(h * h)) from y{i}) as h from y{i})"
     return f"{text} select h.id, round(h, 6) as hub, round(a, 6) as authority from h{rounds} h join a{rounds} a on h.id = a.id"
@@ -690,44 +659,89 @@ def hits_5(e):
     return G.hits(e, 5).select("id", r6("hub").alias("hub"), r6("authority").alias("authority"))
 
 
-@_query()
-def eigenvector(spark, sf_dir):
-    return G.eigenvector(_pairs(spark, sf_dir), 20)
+def _eigen_sql(rounds: int) -> str:
+    text = f"{_PAIRS}, n as materialized (select distinct src as id from q), r0 as (select id, 1.0::double as r from n)"
+    for i in range(1, rounds + 1):
+        text += f", x{i} as materialized (select q.src as id, sum(r) as r from q join r{i - 1} on id = q.dst group by 1), r{i} as materialized (select id, r / (select sqrt(sum(r * r)) from x{i}) as r from x{i})"
+    return f"{text} select id, round(r, 6) as score from r{rounds}"
 
 
-@_query()
-def personal_pagerank(spark, sf_dir):
-    return G.pagerank(_pairs(spark, sf_dir), 10, reset=1)
+@_on_pairs(_eigen_sql(20))
+def eigenvector(e):
+    return G.eigenvector(e, 20, 0.0).select("id", r6("score").alias("score"))
 
 
-@_query()
-def weighted_distance(spark, sf_dir):
-    return G.weighted_distances(_pairs(spark, sf_dir).withColumn("w", (F.col("dst") % 5 + 1).cast("double")), 1, "w")
+def _personal_sql(rounds: int, weight: str = "1.0", reset: int | None = 1, edges: str = "p") -> str:
+    """PageRank unrolled; what is lost goes to reset, or evenly to all."""
+    text = f"{_PAIRS}, ew as materialized (select src, dst, {weight} as w from {edges} group by src, dst), o as materialized (select src, sum(w) as o from ew group by 1), n as materialized (select distinct src as id from q), r0 as (select id, {f'(id = {reset})::int::double' if reset else '1.0::double / (select count(*) from n)'} as r from n)"
+    for i in range(1, rounds + 1):
+        add = f"(id = {reset})::int * (1 - (select sum(r) from s{i}))" if reset else f"(1 - (select sum(r) from s{i})) / (select count(*) from n)"
+        text += f", s{i} as materialized (select n.id, coalesce(sum(0.85 * r * w / o.o), 0) as r from n left join ew on ew.dst = n.id left join o on o.src = ew.src left join r{i - 1} x on x.id = ew.src group by 1), r{i} as materialized (select id, r + {add} as r from s{i})"
+    return f"{text} select id, round(r, 6) as rank from r{rounds}"
 
 
-@_query()
-def core_periphery(spark, sf_dir):
-    return G.core_periphery(_pairs(spark, sf_dir))
+@_on_pairs(_personal_sql(10))
+def personal_pagerank(e):
+    return G.pagerank(e, 10, tolerance=0.0, reset=1).select("id", r6("rank").alias("rank"))
 
 
-@_query()
-def betweenness(spark, sf_dir):
-    return S.betweenness_table(_pairs(spark, sf_dir))
+@_query(_personal_sql(10, "count(*)::double", None, "g"))
+def weighted_pagerank(spark, sf_dir):
+    return G.pagerank(_graph(spark, sf_dir).withColumn("w", F.lit(1.0)), 10, tolerance=0.0, weight="w").select("id", r6("rank").alias("rank"))
 
 
-@_query()
+@_on_pairs(f"{_PAIRS}, b as (select 1::bigint as id, 0 as dist union select p.dst, dist + p.dst % 5 + 1 from b join p on b.id = p.src where dist < 40) select id, min(dist)::double as dist from b group by 1")
+def weighted_distance(e):
+    return G.weighted_distances(e.withColumn("w", (F.col("dst") % 5 + 1).cast("double")), 1, "w")
+
+
+@_on_pairs(f"{_PAIRS}, d as (select src as id, count(*) as d from q group by 1), r as materialized (select id, d, row_number() over (order by d desc, id) as rank from d), l as (select greatest(a.rank, b.rank) as rank, count(*) as n from q join r a on q.src = a.id join r b on q.dst = b.id where q.src < q.dst group by 1), z as materialized (select r.id, rank, sum(coalesce(n, 0)) over (order by rank) as i, sum(d) over (order by rank) as e from r left join l using (rank)), c as (select *, rank * (rank - 1) / 2 - i + (select count(*) // 2 from q) - e + i as cost from z) select id, rank::bigint as rank, rank <= (select rank from c order by cost, rank limit 1) as core from c")
+def core_periphery(e):
+    return G.core_periphery(e).select("id", "rank", "core")
+
+
+#: Numbers of shortest paths between all pairs, level by level as far as the SQL's scale needs.
+_SIGMA = f"{_PAIRS}, l0 as (select distinct src as s, src as id, 0 as d, 1::double as n from q)" + "".join(
+    f", l{i} as materialized (select s, q.dst as id, {i} as d, sum(n) as n from l{i - 1} join q on q.src = id where not exists (select 1 from ({' union all '.join(f'select s, id from l{j}' for j in range(i))}) x where x.s = l{i - 1}.s and x.id = q.dst) group by 1, 2)" for i in range(1, 7)
+) + ", sg as materialized (" + " union all ".join(f"select * from l{i}" for i in range(7)) + ")"
+
+
+@_on_pairs(f"{_SIGMA} select v.id, round(coalesce(sum(case when v.id <> st.s and v.id <> st.id and sv.d + vt.d = st.d then sv.n * vt.n / st.n end), 0) / 2, 4) as betweenness from (select distinct src as id from q) v join sg sv on sv.id = v.id join sg st on st.s = sv.s join sg vt on vt.s = v.id and vt.id = st.id group by 1")
+def betweenness(e):
+    return S.betweenness_table(e).select("id", F.round("betweenness", 4).alias("betweenness"))
+
+
+_CASCADE_LINKS = f"{_EVENTS}, kl as materialized (select a.id as a, b.id as b from k a join k b on a.dest = b.source and a.source <> a.dest and b.source <> b.dest and b.start between a.start + 60 and a.start + 60 + 60 and a.id <> b.id)"
+
+
+@_query(f"{_CASCADE_LINKS.replace('with ', 'with recursive ', 1) if 'recursive' not in _CASCADE_LINKS else _CASCADE_LINKS}, rr as (select a as root, a as id from (select distinct a from kl where a not in (select b from kl)) union select root, b from rr join kl on kl.a = rr.id) select root, count(*) as size from rr group by 1")
 def top_cascades(spark, sf_dir):
     return G.top_cascades(R.interval_join(_cascade(spark, sf_dir), 60))
 
 
-@_query()
-def graph_statistics(spark, sf_dir):
-    return G.statistics(_pairs(spark, sf_dir))
+_STATS = f"""{_PAIRS}, dg as materialized (select id, sum(o)::bigint as o, sum(1 - o)::bigint as i from (select src as id, 1 as o from p union all select dst, 0 from p) group by 1),
+    tr as materialized (select a.src as x, a.dst as y, b.dst as z from q a join q b on a.dst = b.src join q c on b.dst = c.src and c.dst = a.src where a.src < a.dst and a.dst < b.dst),
+    cl as (select id, count(*) as t from (select x as id from tr union all select y from tr union all select z from tr) group by 1), de as (select src as id, count(*) as d from q group by 1),
+    wc as (select src as id, src as root from q union select q.dst, root from wc join q on wc.id = q.src), cs as (select root, count(*) as n from (select id, min(root) as root from wc group by 1) group by 1)
+    select 'nodes' as statistic, (select count(*) from dg)::double as value union all select 'no_in', (select count(*) from dg where i = 0)::double union all select 'no_out', (select count(*) from dg where o = 0)::double
+    union all select 'max_degree', (select max(o + i) from dg)::double union all select 'mean_degree', (select round(avg(o + i), 6) from dg) union all select 'directed', (select count(*) from p)::double
+    union all select 'undirected', (select count(*) // 2 from q)::double union all select 'mutual', (select count(*) // 2 from p join p x on p.src = x.dst and p.dst = x.src)::double union all select 'self_edges', 0.0
+    union all select 'triangles', (select count(*) from tr)::double union all select 'clustering', (select round(avg(coalesce(case when d > 1 then t / (d * (d - 1) / 2) end, 0)), 6) from de left join cl using (id))
+    union all select 'components', (select count(*) from cs)::double union all select 'largest_component', (select max(n) from cs)::double"""
+
+
+@_on_pairs(_STATS)
+def graph_statistics(e):
+    return G.statistics(e).withColumn("value", r6("value"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from weftline import registry_more  # noqa: F401, its queries are registered on import
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from weftline import registry_more  # noqa: F401
+
     return dict(_sql)

@@ -55,12 +55,12 @@ def read_named_edges(spark: SparkSession, path: str, pattern: str = "\\s+") -> t
 def read_connections(spark: SparkSession, path: str) -> DataFrame:
     """src, dst of lines `node neighbour neighbour ...`."""
     f = _fields(spark, path).select(F.col("f")[0].cast("long").alias("src"), F.expr("slice(f, 2, greatest(size(f) - 1, 0))").alias("rest"))
-    return f.select("src", F.explode("rest").cast("long").alias("dst"))
+    return f.select("src", F.explode(F.col("rest").cast("array<bigint>")).alias("dst"))
 
 
 def read_pajek(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, name) and edges (src, dst) of a Pajek file, whose sections are told apart by their line numbers."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = text.select(F.posexplode(F.split("value", "\\r?\\n")).alias("no", "line")).select("no", F.trim("line").alias("line")).where("line != ''")
     heads = lines.where("startswith(line, '*')").select(F.col("no").alias("h"), F.lower(F.split("line", "\\s+")[0]).alias("section"))
     inside = lines.where("not startswith(line, '*')").join(F.broadcast(heads), F.col("h") < F.col("no")).groupBy("no", "line").agg(F.max_by("section", "h").alias("section"))
@@ -69,6 +69,28 @@ def read_pajek(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def read_edge_times(spark: SparkSession, path: str, src: int, dst: int, t: int, pattern: str = "\\s+") -> DataFrame:
+    """src, dst, t (longs) from the fields with these numbers of a separated text; lines without them fail."""
+    at = lambda i: F.when(F.size("f") > i, F.col("f")[i].cast("bigint")).otherwise(F.raise_error(F.concat(F.lit(f"no field {i}: "), "line")).cast("bigint"))
+    return _fields(spark, path, pattern).select(at(src).alias("src"), at(dst).alias("dst"), at(t).alias("t"))
+
+
+def write_network(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """An attributed network as two tables, nodes (id, ...) and edges (src, dst, ...), under path."""
+    nodes.write.mode("errorifexists").parquet(f"{path}/nodes")
+    edges.write.mode("errorifexists").parquet(f"{path}/edges")
+
+
+def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def from_mapping(spark: SparkSession, values: dict, key: str, value: str, kinds: str) -> DataFrame:
+    """A table of two columns from a mapping; kinds: their types, separated by a comma."""
+    a, b = kinds.split(",")
+    return spark.createDataFrame(list(values.items()), f"{key} {a}, {value} {b}")
+
+
 def edge_lines(edges: DataFrame) -> DataFrame:
     """Text lines of an edge list, for df.write.text."""
     return edges.select(F.concat_ws("\t", "src", "dst").alias("value"))
@@ -102,8 +124,10 @@ def temporal_lines(edges: DataFrame, relative: bool = False) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, column: str) -> DataFrame:
-    """id 0, 1, ... of the distinct values in order. Values are ranked inside hash ranges and shifted by the ranges before."""
-    return indexed(df.select(column).distinct(), [column], F.substring(F.col(column).cast("string"), 1, 2) if dict(df.dtypes)[column] == "string" else F.floor(F.col(column) / 4096), "id")
+    """id 0, 1, ... of the distinct values in order."""
+    from weftline.operators.order import numbered
+
+    return numbered(df.select(column).distinct(), [column], "id")
 
 
 def indexed(df: DataFrame, order: list[str], coarse: Column, name: str) -> DataFrame:
