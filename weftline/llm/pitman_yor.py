@@ -42,7 +42,7 @@ PAYLOAD_TOKENS, LEAST_TOKENS, MOST_TOKENS = 256, 300_000, 1_500_000
 #: Counts of so many rounds of gathering are merged before the shards get them.
 MERGED = 64
 #: Occurrences of a shard's dishes that one task scores.
-TASK_USES = 2_000_000
+TASK_USES = 8_000_000
 SEED = 5
 _END = U(0x1B873593CC9E)
 _48 = U(16)
@@ -356,7 +356,7 @@ def _finish(model: dict, roots: int, samples: int) -> Callable:
         if rows:
             x = Seated(rows, model, roots)
             x.add_sample()
-            yield _rows([(x.shard, next(r["uses"] for r in rows if r["uses"] is not None), pack(_delta(x.key), np.log10(x.sampled.astype(np.float64) / samples).astype(np.float32), x.wi.astype(np.uint32), x.known.astype(np.uint64)))], "shard int, uses long, payload binary")
+            yield _rows([(x.shard, next(r["uses"] for r in rows if r["uses"] is not None), pack(_delta(x.key), np.log10(x.sampled.astype(np.float64) / samples).astype(np.float32), x.known[x.wi].astype(np.uint64)))], "shard int, uses long, payload binary")
 
     return run
 
@@ -370,8 +370,8 @@ class Model:
         self.shards, self.roots = shards, max(4, math.isqrt(shards))
         with temporary(spark) as keep:
             counts = rows.mapInArrow(_count(shards), _COUNTS)
-            if shards > MERGED:
-                groups = F.pmod(F.xxhash64("part"), F.lit(max(1, shards // MERGED)))
+            if shards >= 2 * MERGED:
+                groups = F.pmod(F.xxhash64("part"), F.lit(shards // MERGED))
                 counts = counts.repartition(4 * shards, "shard", groups).mapInArrow(_merge_some, _COUNTS)
             state = durable(counts.repartitionById(shards, "shard").mapInArrow(_merge(self.roots), _STATE))
             of = state.agg(F.sum("ones"), F.sum("twos")).first()
@@ -440,21 +440,21 @@ def _score(model: dict) -> Callable:
 
     @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dishes = log = base = known = None
+        dishes = log = count = None
         for b in batches:
             out = []
             for kind, part, x in zip(*[b.column(k).to_pylist() for k in ("kind", "part", "payload")], strict=True):
                 if kind == 0:
-                    dishes, log, wi, count = unpack(x)
-                    dishes, wi = np.cumsum(dishes, dtype=U), wi.astype(np.int64)
-                    base, known = np.log10((count + 0.5) / (n + 0.5 * types)), count > 0
+                    dishes, log, count = unpack(x)
+                    dishes = np.cumsum(dishes, dtype=U)
                 elif kind == 2:
                     out.append((part, 2, x))
                 else:
                     delta, times, doc = unpack(x)
                     at = np.repeat(np.searchsorted(dishes, np.cumsum(delta, dtype=U)), times)
                     ids, own = np.unique(doc, return_inverse=True)
-                    sums = [np.bincount(own, weights=v, minlength=len(ids)) for v in (log[at], base[wi[at]], known[wi[at]])]
+                    c = count[at]
+                    sums = [np.bincount(own, weights=v, minlength=len(ids)) for v in (log[at], np.log10((c + 0.5) / (n + 0.5 * types)), c > 0)]
                     out.append((part, 1, pack(ids, *sums)))
             if out:
                 yield _rows(out, _SUMS)
