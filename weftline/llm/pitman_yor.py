@@ -201,15 +201,13 @@ def _merge(roots: int) -> Callable:
         if not rows:
             return
         u, w, c = _summed(*[np.concatenate(x) for x in zip(*[_unpacked_counts(r["payload"]) for r in rows], strict=True)])
-        key = dish_key(u, w)
-        order = np.argsort(key, kind="stable")
-        key, u, w, c = key[order], u[order], w[order], c[order]
-        contexts, words = distinct(u), distinct(w)
-        ui, wi = np.searchsorted(contexts, u), np.searchsorted(words, w)
+        at, words = _starts(u), distinct(w)
+        wi = np.searchsorted(words, w)
         t = np.minimum(c, 1)
-        fixed = pack(_delta(key), ui.astype(np.uint32), wi.astype(np.uint32), c.astype(np.uint32), _delta(words))
+        # Dishes in the order of context and word, which takes fewest bytes; their keys follow from the hashes.
+        fixed = pack(_delta(u[at]), np.diff(np.r_[at, len(u)]).astype(np.uint32), wi.astype(np.uint32), c.astype(np.uint32), _delta(words))
         shard, uses = rows[0]["shard"], sum(r["uses"] for r in rows)
-        own = (shard, uses, int((c == 1).sum()), int((c == 2).sum()), fixed, pack(t.astype(np.uint32), np.zeros(0, np.float32)), None, None)
+        own = (shard, uses, int((c == 1).sum()), int((c == 2).sum()), fixed, pack(t.astype(np.uint32)), None, None)
         per_word = [np.bincount(wi, weights=x, minlength=len(words)) for x in (t, c)]
         yield _rows([own, *_asks(shard, words, roots, *per_word)], _STATE)
 
@@ -294,14 +292,14 @@ def _root(model: dict | None, sweep: int) -> Callable:
 
 
 class Seated:
-    """A shard's dishes with the answers of all roots."""
+    """A shard's dishes, in the order of context and word, with the answers of all roots."""
 
     def __init__(self, rows: list[dict], model: dict, roots: int):
         own = next(r for r in rows if r["fixed"] is not None)
-        key, ui, wi, c, words = unpack(own["fixed"])
-        self.shard, self.key, self.words = own["shard"], np.cumsum(key, dtype=U), np.cumsum(words, dtype=U)
-        self.ui, self.wi, self.c = ui.astype(np.int64), wi.astype(np.int64), c.astype(np.int64)
-        t, self.sampled = unpack(own["state"])
+        contexts, runs, wi, c, words = unpack(own["fixed"])
+        self.shard, self.contexts, self.words = own["shard"], np.cumsum(contexts, dtype=U), np.cumsum(words, dtype=U)
+        self.ui, self.wi, self.c = np.repeat(np.arange(len(runs)), runs), wi.astype(np.int64), c.astype(np.int64)
+        t, *self.samples = unpack(own["state"])
         self.t, self.model = t.astype(np.int64), model
         of = (mix(self.words) % U(roots)).astype(np.int64)
         self.customers, self.tables, self.known = np.zeros((3, len(self.words)), np.int64)
@@ -309,23 +307,38 @@ class Seated:
             if r["payload"] is not None:
                 i = np.flatnonzero(of == r["root"])
                 self.customers[i], self.tables[i], self.known[i] = (x.astype(np.int64) for x in unpack(r["payload"]))
-        d0 = model["d0"]
-        self.parent = (self.customers - d0 * self.tables + (PARENT_STRENGTH + d0 * model["tables"]) / model["types"]) / (PARENT_STRENGTH + model["customers"])
         self.in_context = np.bincount(self.ui, weights=self.c)
-        self.at_tables = np.bincount(self.ui, weights=self.t)
 
-    def predictive(self) -> np.ndarray:
-        """The probability of each dish's word after its context."""
-        d = self.model["d"]
-        return (self.c - d * self.t + (STRENGTH + d * self.at_tables[self.ui]) * self.parent[self.wi]) / (STRENGTH + self.in_context[self.ui])
+    @property
+    def key(self) -> np.ndarray:
+        return dish_key(self.contexts[self.ui], self.words[self.wi])
+
+    def parent(self, customers: np.ndarray, tables: np.ndarray, model: dict) -> np.ndarray:
+        """The parent's probability of each word."""
+        d0 = model["d0"]
+        return (customers - d0 * tables + (PARENT_STRENGTH + d0 * model["tables"]) / model["types"]) / (PARENT_STRENGTH + model["customers"])
+
+    def predictive(self, t: np.ndarray | None = None, customers: np.ndarray | None = None, tables: np.ndarray | None = None, model: dict | None = None) -> np.ndarray:
+        """The probability of each dish's word after its context, in the seating given or else the present one."""
+        if t is None:
+            t, customers, tables, model = self.t, self.customers, self.tables, self.model
+        d, parent = model["d"], self.parent(customers, tables, model)
+        return (self.c - d * t + (STRENGTH + d * np.bincount(self.ui, weights=t)[self.ui]) * parent[self.wi]) / (STRENGTH + self.in_context[self.ui])
 
     def add_sample(self) -> None:
-        p = self.predictive().astype(np.float32)
-        self.sampled = self.sampled + p if len(self.sampled) else p
+        self.samples += [x.astype(np.uint32) for x in (self.t, self.customers, self.tables)]
+
+    def averaged(self, models: list[dict]) -> np.ndarray:
+        """The mean of the predictive probabilities of the samples, whose totals are in models."""
+        total = np.zeros(len(self.c))
+        for i, model in enumerate(models):
+            total += self.predictive(*[x.astype(np.float64) for x in self.samples[3 * i : 3 * i + 3]], model)
+        return total / len(models)
 
     def sweep(self, number: int) -> None:
         rng = np.random.default_rng([SEED, 0, self.shard, number])
-        self.t = draw_tables(self.c, self.at_tables[self.ui] - self.t, self.parent[self.wi], self.model["d"], STRENGTH, stirling(self.model["d"]), rng)
+        others = np.bincount(self.ui, weights=self.t)[self.ui] - self.t
+        self.t = draw_tables(self.c, others, self.parent(self.customers, self.tables, self.model)[self.wi], self.model["d"], STRENGTH, stirling(self.model["d"]), rng)
 
 
 def _seat(model: dict, number: int, roots: int, sample: bool) -> Callable:
@@ -341,22 +354,25 @@ def _seat(model: dict, number: int, roots: int, sample: bool) -> Callable:
         if sample:
             x.add_sample()
         x.sweep(number)
-        new = (own["shard"], own["uses"], own["ones"], own["twos"], own["fixed"], pack(x.t.astype(np.uint32), x.sampled), None, None)
+        new = (own["shard"], own["uses"], own["ones"], own["twos"], own["fixed"], pack(x.t.astype(np.uint32), *x.samples), None, None)
         yield _rows([new, *_asks(x.shard, x.words, roots, np.bincount(x.wi, weights=x.t, minlength=len(x.words)))], _STATE)
 
     return run
 
 
-def _finish(model: dict, roots: int, samples: int) -> Callable:
-    """A shard's dishes with the logarithm of their averaged probabilities."""
+def _finish(models: list[dict], roots: int) -> Callable:
+    """A shard's dishes by key, with the logarithm of their averaged probabilities and their words' training tokens."""
 
     @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _all_rows(batches)
         if rows:
-            x = Seated(rows, model, roots)
+            x = Seated(rows, models[-1], roots)
             x.add_sample()
-            yield _rows([(x.shard, next(r["uses"] for r in rows if r["uses"] is not None), pack(_delta(x.key), np.log10(x.sampled.astype(np.float64) / samples).astype(np.float32), x.known[x.wi].astype(np.uint64)))], "shard int, uses long, payload binary")
+            key = x.key
+            order = np.argsort(key, kind="stable")
+            log = np.log10(x.averaged(models)).astype(np.float32)
+            yield _rows([(x.shard, next(r["uses"] for r in rows if r["uses"] is not None), pack(_delta(key[order]), log[order], x.known[x.wi][order].astype(np.uint64)))], "shard int, uses long, payload binary")
 
     return run
 
@@ -377,13 +393,17 @@ class Model:
             of = state.agg(F.sum("ones"), F.sum("twos")).first()
             self.numbers = {"d": self._discount(*[x or 0 for x in of])}
             answers = self._answers(state, None, None, 0)
+            sampled = []
             for k in range(1, sweeps + 1):
-                new = durable(self._with(state, answers).mapInArrow(_seat(self.numbers, k, self.roots, k > sweeps - samples + 1), _STATE))
+                # What is sampled is the seating before the sweep, to which the answers belong.
+                sample = k > sweeps - samples + 1
+                sampled += [dict(self.numbers)] * sample
+                new = durable(self._with(state, answers).mapInArrow(_seat(dict(self.numbers), k, self.roots, sample), _STATE))
                 told = self._answers(new, answers, dict(self.numbers), k)
                 discard(spark, state, answers)
                 state, answers = new, told
-            taken = min(samples, sweeps + 1)
-            self.finished = keep(durable(self._with(state, answers).mapInArrow(_finish(self.numbers, self.roots, max(1, taken)), "shard int, uses long, payload binary")))
+            sampled.append(dict(self.numbers))
+            self.finished = keep(durable(self._with(state, answers).mapInArrow(_finish(sampled, self.roots), "shard int, uses long, payload binary")))
             self.state = (keep(state), keep(answers)) if keep_state else None
 
     @staticmethod
