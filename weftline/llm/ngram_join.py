@@ -36,9 +36,7 @@ SKETCH_SLICES = 16
 #: Shingles that a shard gets, on average (a fifth of them are in its tiles).
 SHARD_SHINGLES = 6_000_000
 #: Pairs that a task remembers having passed on.
-PASSED = 1 << 16
-#: Tile rows between components that a task gets of one family, about.
-FAMILY_ROWS = 2048
+PASSED = 1 << 18
 #: Stands for a null doc_id: larger than any other.
 _NONE = 2**63 - 1
 _52 = U((1 << 52) - 1)
@@ -295,11 +293,9 @@ def _between_components(members: DataFrame, signatures: DataFrame) -> DataFrame:
     tiles = members.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(whose[0]).alias("x"), F.bit_xor(whose[1]).alias("y"))
     # Tiles of the same documents have the same pairs; one of them is enough.
     mixed = durable(tiles.where("lo != hi").groupBy("lo", "n", "x", "y").agg(F.min("k").alias("k")).select("k", "lo", "n"))
-    # Tiles of a family share tasks, as far as these stay small, for its pairs to be passed on once.
-    families = durable(mixed.groupBy("lo").agg(F.ceil(F.sum("n") / FAMILY_ROWS).alias("tasks")).where("tasks > 1"))
-    mixed = durable(mixed.join(small(families), "lo", "left").select("k", "lo", "n", F.coalesce("tasks", F.lit(1)).alias("tasks")))
-    tiles = members.join(mixed.select("k", "lo", "tasks"), "k").join(signatures, "node").select("k", "lo", "tasks", "node.d", "node.t", F.col("root.d").alias("rd"), F.col("root.t").alias("rt"), "n", "octave", "wide")
-    found = dealt(tiles, mixed.drop("tasks"), "k", "t", near=[F.col("lo"), F.pmod("k", "tasks")]).mapInArrow(_across, "d bigint, t bigint, d2 bigint, t2 bigint")
+    tiles = members.join(mixed.select("k", "lo"), "k").join(signatures, "node").select("k", "lo", "node.d", "node.t", F.col("root.d").alias("rd"), F.col("root.t").alias("rt"), "n", "octave", "wide")
+    # A family's tiles meet in two tasks, for its pairs to be passed on about once: in more tasks they are repeated.
+    found = dealt(tiles, mixed, "k", "t", near=[F.col("lo"), F.pmod("k", F.lit(2))]).mapInArrow(_across, "d bigint, t bigint, d2 bigint, t2 bigint")
     a, b = F.struct("d", "t"), F.struct(F.col("d2").alias("d"), F.col("t2").alias("t"))
     return found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
