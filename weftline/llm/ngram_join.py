@@ -36,7 +36,7 @@ SKETCH_SLICES = 16
 #: Shingles that a shard gets, on average (a fifth of them are in its tiles).
 SHARD_SHINGLES = 6_000_000
 #: Pairs that a task remembers having passed on.
-PASSED = 1 << 18
+PASSED = 400_000
 #: Stands for a null doc_id: larger than any other.
 _NONE = 2**63 - 1
 _52 = U((1 << 52) - 1)
@@ -243,14 +243,17 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, t = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
         for u, v in pairs(rows, key[1] != key[2]):
             pair = np.stack([d[u], t[u], d[v], t[v]], axis=1)
-            slot = (spans_hash(pair.view(U).ravel(), 4 * np.arange(len(pair)), 4 * np.arange(len(pair)) + 4) & U(len(passed) - 1)).astype(np.int64)
-            pair = pair[(passed[slot] != pair).any(axis=1)]
-            passed[slot] = np.stack([d[u], t[u], d[v], t[v]], axis=1)
+            raw = pair.tobytes()
+            own = [raw[x : x + 32] for x in range(0, len(raw), 32)]
+            pair = pair[[x not in passed for x in own]]
+            if len(passed) > PASSED:
+                passed.clear()
+            passed.update(own)
             if len(pair):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pair.T], ["d", "t", "d2", "t2"])
 
-    # A pair often shares many tiles; one that this task has just passed on, the last of its slot, is left out.
-    passed = np.zeros((PASSED, 4), np.int64)
+    # A pair often shares many tiles; one that this task has passed on is left out.
+    passed: set[bytes] = set()
     key, rows = None, []
     for b in batches:
         names = ("k", "i", "j", "d", "t", "side", "rd", "rt", "n", "octave", "wide")
