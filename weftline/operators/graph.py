@@ -591,6 +591,17 @@ def matches_of_edges(edges: DataFrame, anchors: DataFrame, pattern: list[tuple[i
     return used.join(anchors.select("src", "dst").distinct(), ["src", "dst"], "left_semi").select(*m.columns).distinct()
 
 
+def paws_of_edges(edges: DataFrame, anchors: DataFrame) -> DataFrame:
+    """src, dst, third, at, pendant: the triangles over the edges in anchors (src, dst) with one more edge, from the corner
+    at to a node outside the triangle. Edges are undirected; an anchor may be given in either direction."""
+    s = cut_lineage(symmetric(edges))
+    a = anchors.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src != dst").distinct().join(s, ["src", "dst"], "left_semi")
+    thirds = a.join(s.select("src", F.col("dst").alias("third")), "src").join(s.select("dst", F.col("src").alias("third")), ["dst", "third"], "left_semi")
+    corners = thirds.select("src", "dst", "third", F.explode(F.array("src", "dst", "third")).alias("at"))
+    ends = s.select(F.col("src").alias("at"), F.col("dst").alias("pendant"))
+    return corners.join(ends, "at").where("pendant not in (src, dst, third)").select("src", "dst", "third", "at", "pendant")
+
+
 def squares_estimate(edges: DataFrame, share: float, seed: int = 0) -> DataFrame:
     """One row: squares, estimated from wedges sampled by a hash: a square has two wedges over each of its diagonals, and
     both of a pair are in the sample with the square of the share."""
@@ -635,6 +646,21 @@ def core_periphery(edges: DataFrame) -> DataFrame:
     return scored.crossJoin(F.broadcast(cut)).select("id", "rank", (F.col("rank") <= F.col("cut")).alias("core"))
 
 
+def core_measures(edges: DataFrame, core: DataFrame) -> DataFrame:
+    """One row on a set of core nodes (id): touched and inside, the undirected edges with an end in the core and with both, over
+    the pairs of core nodes; quality, the share of core pairs that are edges and of the other nodes' pairs that are none.
+    A share over no pairs is null."""
+    e = canonical(edges)
+    c = core.select("id", F.lit(1).alias("c")).distinct()
+    flags = e.join(c.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a", "left").join(c.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b", "left").select((F.coalesce("ca", F.lit(0)) + F.coalesce("cb", F.lit(0))).alias("ends"))
+    count = lambda x: F.coalesce(F.sum(x.cast("long")), F.lit(0))
+    sums = flags.agg(count(F.col("ends") > 0).alias("some"), count(F.col("ends") == 2).alias("both"), count(F.col("ends") == 0).alias("outer"))
+    sizes = nodes_of(edges).join(c, "id", "left").agg(F.count("c").alias("k"), F.count(F.lit(1)).alias("n"))
+    pairs = lambda x: F.nullif(x * (x - 1) / 2, F.lit(0.0))
+    inner, outer = pairs(F.col("k")), pairs(F.col("n") - F.col("k"))
+    return sums.crossJoin(F.broadcast(sizes)).select((F.col("some") / inner).alias("touched"), (F.col("both") / inner).alias("inside"), (F.col("both") / inner + (outer - F.col("outer")) / outer).alias("quality"))
+
+
 def top_cascades(links: DataFrame) -> DataFrame:
     """root and the number of events it reaches (itself too), for events of links (a, b) that nothing leads to."""
     e = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -662,4 +688,37 @@ def statistics(edges: DataFrame) -> DataFrame:
     c = clustering(edges).agg(F.avg("cc").alias("clustering"))
     s = component_sizes(weak_components(edges)).agg(F.count(F.lit(1)).alias("components"), F.max("size").alias("largest_component"))
     row = d.crossJoin(edge_counts(edges)).crossJoin(triangle_count(edges)).crossJoin(c).crossJoin(s)
+    return _tall(row)
+
+
+def _tall(row: DataFrame) -> DataFrame:
+    """statistic, value of a table with one row."""
     return row.select(F.explode(F.map_from_arrays(F.array(*[F.lit(x) for x in row.columns]), F.array(*[F.col(x).cast("double") for x in row.columns]))).alias("statistic", "value"))
+
+
+def component_statistics(edges: DataFrame) -> DataFrame:
+    """statistic, value: nodes with edges out and in, unique and mutual edges, of the whole graph and of its largest weak
+    component (wcc_), nodes and edges of the largest strong one (scc_), their shares of all nodes, open and closed triads.
+    Of components of the same size the one with the smallest label counts. Edges are directed, distinct and without loops."""
+    e = cut_lineage(edges.select("src", "dst").where("src != dst").distinct())
+    n = nodes_of(e).agg(F.count(F.lit(1)).alias("n"))
+
+    def basic(part: DataFrame, prefix: str) -> DataFrame:
+        d = degrees(part).agg(F.count(F.lit(1)).alias("nodes"), F.sum((F.col("out_deg") > 0).cast("long")).alias("src_nodes"), F.sum((F.col("in_deg") > 0).cast("long")).alias("dst_nodes"))
+        counts = edge_counts(part).select(F.col("directed").alias("edges"), F.col("undirected").alias("unique_edges"), F.col("mutual").alias("mutual_edges"))
+        both = d.crossJoin(counts)
+        return both.select(*[F.coalesce(F.col(c), F.lit(0)).alias(prefix + c) for c in both.columns])
+
+    def largest(labels: DataFrame) -> DataFrame:
+        top = component_sizes(labels).orderBy(F.desc("size"), "root").limit(1)
+        return cut_lineage(induced(e, labels.join(F.broadcast(top.select("root")), "root", "left_semi").select("id")))
+
+    wcc, strong = basic(largest(weak_components(e)), "wcc_"), strong_components(e)
+    # A strong component of one node has no edges, so its size comes from the labels.
+    size = component_sizes(strong).agg(F.coalesce(F.max("size"), F.lit(0)).alias("scc_nodes"))
+    scc = largest(strong).agg(F.count(F.lit(1)).alias("scc_edges"))
+    d = symmetric(e).groupBy("src").agg(F.count(F.lit(1)).alias("d")).agg(F.coalesce(F.sum(F.col("d") * (F.col("d") - 1) / 2), F.lit(0.0)).alias("wedges"))
+    triads = d.crossJoin(triangle_count(e).select(F.col("triangles").alias("closed_triads"))).select("closed_triads", (F.col("wedges") - 3 * F.col("closed_triads")).alias("open_triads"))
+    row = basic(e, "").crossJoin(wcc).crossJoin(size).crossJoin(scc).crossJoin(triads).crossJoin(n)
+    shares = [(F.col(f"{x}_nodes") / F.nullif(F.col("n"), F.lit(0))).alias(f"{x}_share") for x in ("wcc", "scc")]
+    return _tall(row.select("*", *shares).drop("n"))

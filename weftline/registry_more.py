@@ -14,6 +14,7 @@ from weftline.operators import buckets as B
 from weftline.operators import graph as G
 from weftline.operators import relational as R
 from weftline.operators import small_graphs as S
+from weftline.operators import spectra as P
 from weftline.plans import motifs as M
 from weftline.registry import _G, _PAIRS, DAY, _motif_sql, _on_pairs, _pairs, _query, _t, r6
 from weftline.sources import edges as E
@@ -452,3 +453,48 @@ def generated_graphs(spark, sf_dir):
     for g in (S.star(spark, 7), S.circle(spark, 8, 2), S.full(spark, 5), S.tree(spark, 3, 3)):
         out = out.union(g.select("src", "dst"))
     return out
+
+
+_ANCHORS = "a as materialized (select distinct least(src, dst) as src, greatest(src, dst) as dst from g where t % 86400 < 3600)"
+
+
+@_query(f"{_PAIRS}, {_ANCHORS}, t as materialized (select a.src, a.dst, x.dst as third from a join q x on x.src = a.src join q y on y.src = a.dst and y.dst = x.dst) select t.src, t.dst, third, q.src as at, q.dst as pendant from t join q on q.src in (t.src, t.dst, t.third) where q.dst not in (t.src, t.dst, t.third)")
+def paws_of_night_edges(spark, sf_dir):
+    e = E.event_graph(spark, sf_dir)
+    return G.paws_of_edges(e, e.where("t % 86400 < 3600"))
+
+
+@_on_pairs(f"{_PAIRS}, c as (select src as id from q group by 1 having count(*) >= 10), n as (select count(distinct src) as n from q), k as (select count(*) as k from c), f as (select (src in (select id from c))::int + (dst in (select id from c))::int as x from q where src < dst), s as (select count(*) filter (x > 0) as touched, count(*) filter (x = 2) as inside, count(*) filter (x = 0) as outside from f) select round(touched / nullif(k * (k - 1) / 2, 0), 6) as touched, round(inside / nullif(k * (k - 1) / 2, 0), 6) as inside, round(inside / nullif(k * (k - 1) / 2, 0) + 1 - outside / nullif((n - k) * (n - k - 1) / 2, 0), 6) as quality from s, k, n")
+def core_measures(e):
+    core = G.symmetric(e).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d")).where("d >= 10")
+    return G.core_measures(e, core).select(*[r6(c).alias(c) for c in ("touched", "inside", "quality")])
+
+
+def _basic_sql(edges: str, prefix: str) -> str:
+    ends = f"(select src as id from {edges} union select dst from {edges})"
+    found = {"nodes": f"count(*) from {ends}", "src_nodes": f"count(distinct src) from {edges}", "dst_nodes": f"count(distinct dst) from {edges}", "edges": f"count(*) from {edges}"}
+    found |= {"unique_edges": f"count(distinct (least(src, dst), greatest(src, dst))) from {edges}", "mutual_edges": f"count(*) // 2 from {edges} x where exists (select 1 from {edges} y where y.src = x.dst and y.dst = x.src)"}
+    return " union all ".join(f"select '{prefix}{k}' as statistic, (select {v})::double as value" for k, v in found.items())
+
+
+_LABELS = """, wb as (select src as id, src as root from q union select q.dst, root from wb join q on wb.id = q.src), wl as materialized (select id, min(root) as root from wb group by 1),
+    rb as (select src as id, src as x from (select src from p union select dst from p) union select rb.id, p.dst from rb join p on rb.x = p.src), rm as materialized (select * from rb),
+    sl as materialized (select b.id, min(b.x) as root from rm b join rm c on b.id = c.x and b.x = c.id group by 1)"""
+_LARGEST = "".join(f", {x}k as materialized (select id from {x}l where root = (select root from {x}l group by 1 order by count(*) desc, root limit 1)), {x}p as materialized (select src, dst from p where src in (select id from {x}k) and dst in (select id from {x}k))" for x in ("w", "s"))
+_TRIADS = ", tr as (select count(*) as n from q a join q b on a.dst = b.src join q c on b.dst = c.src and c.dst = a.src where a.src < a.dst and a.dst < b.dst), wd as (select sum(d * (d - 1) // 2) as n from (select count(*) as d from q group by src))"
+
+
+@_on_pairs(f"{_PAIRS}{_LABELS}{_LARGEST}{_TRIADS} {_basic_sql('p', '')} union all {_basic_sql('wp', 'wcc_')} union all select 'scc_nodes', (select count(*) from sk)::double union all select 'scc_edges', (select count(*) from sp)::double union all select 'wcc_share', (select round(count(*) / (select count(distinct src) from q), 6) from wk) union all select 'scc_share', (select round(count(*) / (select count(distinct src) from q), 6) from sk) union all select 'closed_triads', (select n from tr)::double union all select 'open_triads', (select wd.n - 3 * tr.n from wd, tr)::double")
+def component_statistics(e):
+    return G.component_statistics(e).withColumn("value", r6("value"))
+
+
+@_query()
+def singular_values_3(spark, sf_dir):
+    values, _ = P.singular_vectors(_pairs(spark, sf_dir), 3)
+    return spark.createDataFrame([(i + 1, round(x, 6)) for i, x in enumerate(values)], "rank int, value double")
+
+
+@_query()
+def participation_ratios_3(spark, sf_dir):
+    return P.participation_ratios(P.eigenpairs(_pairs(spark, sf_dir), 3)[1])
