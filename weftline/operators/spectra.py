@@ -14,6 +14,10 @@ from weftline.operators.graph import nodes_of, symmetric
 from weftline.plans.densest import cut_lineage
 
 
+#: Directions beyond the ones asked for, which make the iteration settle sooner.
+SPARE = 8
+
+
 def _names(k: int) -> list[str]:
     return [f"v{i}" for i in range(k)]
 
@@ -41,7 +45,7 @@ def _inner(block: DataFrame, k: int, other: DataFrame | None = None) -> np.ndarr
 
 def _turned(block: DataFrame, matrix: np.ndarray) -> DataFrame:
     """The block times a small matrix."""
-    parts = [sum((F.col(x) * float(c) for x, c in zip(_names(len(matrix)), column, strict=True)), F.lit(0.0)) for column in matrix.T]
+    parts = [sum((F.col(x) * float(c) for x, c in zip(_names(len(matrix)), column, strict=True)), F.lit(0.0)) for column in np.asarray(matrix).T]
     return block.select("id", *[p.alias(f"v{i}") for i, p in enumerate(parts)])
 
 
@@ -59,22 +63,22 @@ def _pairs_of(edges: DataFrame, k: int) -> DataFrame:
 
 
 def _iterated(e: DataFrame, nodes: DataFrame, k: int, rounds: int, tolerance: float, seed: int) -> tuple[DataFrame, int]:
-    """A basis of the k leading directions of the squared matrix; ends when the sums along them change by no more than the tolerance."""
-    block, width = _orthonormal(cut_lineage(_start(nodes, k, seed)), k)
+    """A basis of k + SPARE leading directions of the squared matrix, once the first k sums along them change by no more
+    than the tolerance; raises where the rounds are too few."""
+    block, width = _orthonormal(cut_lineage(_start(nodes, k + SPARE, seed)), k + SPARE)
     before = None
     for _ in range(rounds):
         if not width:
-            break
+            return block, width
         after = cut_lineage(_times(e, _times(e, block, "src", width), "dst", width))
-        gram = _inner(after, width)
-        size, axes = np.linalg.eigh(gram)
+        size, axes = np.linalg.eigh(_inner(after, width))
         use = size > max(size.max(), 0.0) * 1e-14
         block, width = _turned(after, axes[:, use] / np.sqrt(size[use])), int(use.sum())
-        now = np.sqrt(size[use])[::-1]
-        if before is not None and len(before) == len(now) and (np.abs(now - before) <= tolerance * np.maximum(now, 1e-300)).all():
-            break
+        now = np.sqrt(size[use])[::-1][:k]
+        if before is not None and len(before) == len(now) and (np.abs(now - before) <= tolerance * now).all():
+            return cut_lineage(block), width
         before = now
-    return cut_lineage(block), width
+    raise RuntimeError(f"not settled after {rounds} rounds")
 
 
 def _long(block: DataFrame, k: int, name: str) -> DataFrame:
@@ -82,7 +86,7 @@ def _long(block: DataFrame, k: int, name: str) -> DataFrame:
     return block.select("id", F.posexplode(F.array(*_names(k))).alias("rank", name)).select((F.col("rank") + 1).alias("rank"), "id", name)
 
 
-def singular_vectors(edges: DataFrame, k: int, rounds: int = 200, tolerance: float = 1e-9, seed: int = 0) -> tuple[list[float], DataFrame]:
+def singular_vectors(edges: DataFrame, k: int, rounds: int = 200, tolerance: float = 1e-7, seed: int = 0) -> tuple[list[float], DataFrame]:
     """The k largest singular values, falling, of the adjacency matrix of distinct directed edges, and rank, id, left, right.
 
     Fewer come back where the matrix has a smaller rank; nodes without edges in a direction have 0 there. The vectors'
@@ -93,7 +97,7 @@ def singular_vectors(edges: DataFrame, k: int, rounds: int = 200, tolerance: flo
     block, width = _iterated(e, nodes, k, rounds, tolerance, seed)
     if width:
         size, axes = np.linalg.eigh(_inner(_times(e, block, "src", width), width))
-        order = [i for i in np.argsort(-size) if size[i] > max(size.max(), 0.0) * 1e-12]
+        order = [i for i in np.argsort(-size) if size[i] > max(size.max(), 0.0) * 1e-12][:k]
         right = cut_lineage(_turned(block, axes[:, order]))
         width, values = len(order), np.sqrt(size[order])
         left = _turned(_times(e, right, "src", width), np.diag(1 / values))
@@ -104,7 +108,7 @@ def singular_vectors(edges: DataFrame, k: int, rounds: int = 200, tolerance: flo
     return [float(x) for x in values], _signed(both, "right", ["left", "right"])
 
 
-def eigenpairs(edges: DataFrame, k: int, rounds: int = 200, tolerance: float = 1e-9, seed: int = 0) -> tuple[list[float], DataFrame]:
+def eigenpairs(edges: DataFrame, k: int, rounds: int = 200, tolerance: float = 1e-7, seed: int = 0) -> tuple[list[float], DataFrame]:
     """The k eigenvalues of largest magnitude, by falling magnitude, of the undirected graph's adjacency matrix, and rank, id, value."""
     e = _pairs_of(symmetric(edges), k)
     nodes = cut_lineage(nodes_of(e))
@@ -113,8 +117,8 @@ def eigenpairs(edges: DataFrame, k: int, rounds: int = 200, tolerance: float = 1
         return [], nodes.where("false").select(F.lit(1).alias("rank"), "id", F.lit(0.0).alias("value"))
     small = _inner(block, width, _times(e, block, "src", width))
     size, axes = np.linalg.eigh((small + small.T) / 2)
-    order = np.argsort(-np.abs(size), kind="stable")
-    vectors = _long(_turned(block, axes[:, order]), width, "value")
+    order = np.argsort(-np.abs(size), kind="stable")[:k]
+    vectors = _long(_turned(block, axes[:, order]), len(order), "value")
     return [float(x) for x in size[order]], _signed(vectors, "value", ["value"])
 
 

@@ -14,7 +14,6 @@ from weftline.operators import buckets as B
 from weftline.operators import graph as G
 from weftline.operators import relational as R
 from weftline.operators import small_graphs as S
-from weftline.operators import spectra as P
 from weftline.plans import motifs as M
 from weftline.registry import _G, _PAIRS, DAY, _motif_sql, _on_pairs, _pairs, _query, _t, r6
 from weftline.sources import edges as E
@@ -458,15 +457,17 @@ def generated_graphs(spark, sf_dir):
 _ANCHORS = "a as materialized (select distinct least(src, dst) as src, greatest(src, dst) as dst from g where t % 86400 < 3600)"
 
 
-@_query(f"{_PAIRS}, {_ANCHORS}, t as materialized (select a.src, a.dst, x.dst as third from a join q x on x.src = a.src join q y on y.src = a.dst and y.dst = x.dst) select t.src, t.dst, third, q.src as at, q.dst as pendant from t join q on q.src in (t.src, t.dst, t.third) where q.dst not in (t.src, t.dst, t.third)")
+@_query(f"{_PAIRS}, {_ANCHORS}, t as materialized (select a.src, a.dst, x.dst as third from a join q x on x.src = a.src join q y on y.src = a.dst and y.dst = x.dst) select t.src, t.dst, q.src = third as far, count(*) as n from t join q on q.src in (t.src, t.dst, t.third) where q.dst not in (t.src, t.dst, t.third) group by all")
 def paws_of_night_edges(spark, sf_dir):
     e = E.event_graph(spark, sf_dir)
-    return G.paws_of_edges(e, e.where("t % 86400 < 3600"))
+    paws = G.paws_of_edges(e, e.where("t % 86400 < 3600"))
+    return paws.groupBy("src", "dst", (F.col("at") == F.col("third")).alias("far")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_on_pairs(f"{_PAIRS}, c as (select src as id from q group by 1 having count(*) >= 10), n as (select count(distinct src) as n from q), k as (select count(*) as k from c), f as (select (src in (select id from c))::int + (dst in (select id from c))::int as x from q where src < dst), s as (select count(*) filter (x > 0) as touched, count(*) filter (x = 2) as inside, count(*) filter (x = 0) as outside from f) select round(touched / nullif(k * (k - 1) / 2, 0), 6) as touched, round(inside / nullif(k * (k - 1) / 2, 0), 6) as inside, round(inside / nullif(k * (k - 1) / 2, 0) + 1 - outside / nullif((n - k) * (n - k - 1) / 2, 0), 6) as quality from s, k, n")
+@_on_pairs(f"{_PAIRS}, dg as (select src as id, count(*) as d from q group by 1), c as (select id from dg where d > (select avg(d) from dg)), n as (select count(distinct src) as n from q), k as (select count(*) as k from c), f as (select (src in (select id from c))::int + (dst in (select id from c))::int as x from q where src < dst), s as (select count(*) filter (x > 0) as touched, count(*) filter (x = 2) as inside, count(*) filter (x = 0) as outside from f) select round(touched / nullif(k * (k - 1) / 2, 0), 6) as touched, round(inside / nullif(k * (k - 1) / 2, 0), 6) as inside, round(inside / nullif(k * (k - 1) / 2, 0) + 1 - outside / nullif((n - k) * (n - k - 1) / 2, 0), 6) as quality from s, k, n")
 def core_measures(e):
-    core = G.symmetric(e).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d")).where("d >= 10")
+    d = G.symmetric(e).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
+    core = d.crossJoin(F.broadcast(d.agg(F.avg("d").alias("mean")))).where("d > mean").select("id")
     return G.core_measures(e, core).select(*[r6(c).alias(c) for c in ("touched", "inside", "quality")])
 
 
@@ -487,14 +488,3 @@ _TRIADS = ", tr as (select count(*) as n from q a join q b on a.dst = b.src join
 @_on_pairs(f"{_PAIRS}{_LABELS}{_LARGEST}{_TRIADS} {_basic_sql('p', '')} union all {_basic_sql('wp', 'wcc_')} union all select 'scc_nodes', (select count(*) from sk)::double union all select 'scc_edges', (select count(*) from sp)::double union all select 'wcc_share', (select round(count(*) / (select count(distinct src) from q), 6) from wk) union all select 'scc_share', (select round(count(*) / (select count(distinct src) from q), 6) from sk) union all select 'closed_triads', (select n from tr)::double union all select 'open_triads', (select wd.n - 3 * tr.n from wd, tr)::double")
 def component_statistics(e):
     return G.component_statistics(e).withColumn("value", r6("value"))
-
-
-@_query()
-def singular_values_3(spark, sf_dir):
-    values, _ = P.singular_vectors(_pairs(spark, sf_dir), 3)
-    return spark.createDataFrame([(i + 1, round(x, 6)) for i, x in enumerate(values)], "rank int, value double")
-
-
-@_query()
-def participation_ratios_3(spark, sf_dir):
-    return P.participation_ratios(P.eigenpairs(_pairs(spark, sf_dir), 3)[1])
