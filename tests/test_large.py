@@ -1,8 +1,16 @@
 """Queries over more rows or larger groups than the tables of the other tests have."""
 
+import math
+import random
+from collections import Counter, defaultdict
+
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from weftline import registry
+from weftline.operators import graph as G
+from weftline.operators.shared_graph import shared
 
 
 def test_random_subgraphs_take_all_edges(spark, tmp_path):
@@ -11,3 +19,61 @@ def test_random_subgraphs_take_all_edges(spark, tmp_path):
     row = registry.queries()["random_subgraphs"](spark, str(tmp_path)).first()
     want = duckdb.sql(registry.oracle_sql()["random_subgraphs"].replace("from events", f"from '{tmp_path}/events.parquet'")).fetchall()
     assert [tuple(row)] == want and row.edges > 1 << 20
+
+
+def some_edges(spark, nodes, n, seed=0):
+    r = random.Random(seed)
+    rows = [(r.randrange(nodes), r.randrange(nodes)) for _ in range(n)] + [(nodes + 5, nodes + 5), (nodes + 7, nodes + 8)]
+    return spark.createDataFrame(rows, "src long, dst long"), rows
+
+
+@pytest.mark.parametrize("directed", [False, True])
+@pytest.mark.parametrize("nodes, n", [(40, 90), (400, 500), (150, 2000)])
+def test_distances_of_all_pairs(spark, nodes, n, directed, monkeypatch):
+    monkeypatch.setattr(G, "bfs", None)  # no table of all pairs
+    e, rows = some_edges(spark, nodes, n)
+    e = e.withColumn("w", (F.col("dst") % 3 + 1).cast("double"))
+    out = defaultdict(set)
+    for a, b in rows:
+        out[a].add(b)
+        out[b].update([] if directed else [a])
+    want, far = Counter(), {}
+    for s in out.keys() | {b for _, b in rows}:
+        dist, queue = {s: 0}, [s]
+        for u in queue:
+            for v in out[u] - dist.keys():
+                dist[v] = dist[u] + 1
+                queue.append(v)
+        want.update((s, d) for d in dist.values())
+        far[s] = max(dist.values())
+    assert Counter({(r.source, r.dist): r.n for r in G.distance_counts(e, directed).collect()}) == want
+    assert {r.id: r.eccentricity for r in G.eccentricity(e, directed).collect()} == far
+    total = Counter()
+    for (_, d), k in want.items():
+        total[d] += k
+    assert {r.dist: r.n for r in G.distance_distribution(e, directed=directed).collect()} == total
+
+
+def test_weighted_distances_of_all_pairs(spark):
+    e, rows = some_edges(spark, 60, 150, 1)
+    weight = {(a, b): (0.1, 0.2, 0.7, 0.0)[(a + 2 * b) % 4] for a, b in rows}
+    nodes = sorted({x for r in rows for x in r})
+    want = {}
+    for s in nodes:
+        dist = {s: 0.0}
+        for _ in nodes:
+            for (a, b), w in weight.items():
+                if a in dist and dist[a] + w < dist.get(b, math.inf):
+                    dist[b] = dist[a] + w
+        k = len(dist)
+        want[s] = sum(dist.values()) / (k - 1) * (len(nodes) - 1) / (k - 1) if k > 1 else 0.0
+    w = spark.createDataFrame([(a, b, x) for (a, b), x in weight.items()] + [(*rows[0], 5.0)], "src long, dst long, w double")
+    got = {r.id: r.farness for r in G.weighted_closeness(w, "w").collect()}
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+    assert shared(w.withColumn("w", F.rand(1)), True, "w") is None  # left to the joins
+
+
+def test_large_or_other_graphs_are_left_to_joins(spark):
+    e, rows = some_edges(spark, 30, 60)
+    assert shared(e, limit=10) is None and shared(e.selectExpr("string(src) as src", "dst")) is None
+    assert shared(e.union(spark.createDataFrame([(None, 1)], "src long, dst long")), False) is None
