@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline import registry
 from weftline.operators import graph as G
+from weftline.operators import small_graphs as S
 from weftline.operators.shared_graph import shared
 
 
@@ -77,3 +78,16 @@ def test_large_or_other_graphs_are_left_to_joins(spark):
     e, rows = some_edges(spark, 30, 60)
     assert shared(e, limit=10) is None and shared(e.selectExpr("string(src) as src", "dst")) is None
     assert shared(e.union(spark.createDataFrame([(None, 1)], "src long, dst long")), False) is None
+
+
+def test_betweenness_of_more_edges(spark, monkeypatch):
+    monkeypatch.setattr(S, "MAX_EDGES", 100)
+    monkeypatch.setattr(S.adjacency, "__defaults__", (False, 100))
+    e, rows = some_edges(spark, 120, 700)
+    adj = defaultdict(set)
+    for a, b in rows:
+        adj[a] |= {b} - {a}
+        adj[b] |= {a} - {b}
+    want, _ = S.betweenness(adj)
+    got = {r.id: r.betweenness for r in S.betweenness_table(e, 16).collect()}
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
