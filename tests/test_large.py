@@ -91,3 +91,17 @@ def test_betweenness_of_more_edges(spark, monkeypatch):
     want, _ = S.betweenness(adj)
     got = {r.id: r.betweenness for r in S.betweenness_table(e, 16).collect()}
     assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+
+
+def test_neighbourhood_function_is_exact_over_thousands_of_nodes(spark):
+    e, rows = some_edges(spark, 3000, 4000, 2)
+    adj = defaultdict(set)
+    for a, b in rows:
+        adj[a].add(b)
+        adj[b].add(a)
+    reach, want = {x: {x} for x in adj}, []
+    for _ in range(4):
+        want.append(sum(map(len, reach.values())))
+        reach = {x: reach[x].union(*[reach[y] for y in adj[x]]) for x in adj}
+    got = {r.hop: r.pairs for r in G.neighbourhood_function(e, directed=False, hops=3, growth=0.0).collect()}
+    assert got == dict(enumerate(want))
