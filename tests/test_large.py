@@ -105,3 +105,17 @@ def test_neighbourhood_function_is_exact_over_thousands_of_nodes(spark):
         reach = {x: reach[x].union(*[reach[y] for y in adj[x]]) for x in adj}
     got = {r.hop: r.pairs for r in G.neighbourhood_function(e, directed=False, hops=3, growth=0.0).collect()}
     assert got == dict(enumerate(want))
+
+
+def test_network_constraint_joins_no_paths(spark, monkeypatch):
+    monkeypatch.setattr(G, "symmetric", None)  # the table that the paths of two edges are joined from
+    e, rows = some_edges(spark, 50, 300, 3)
+    adj = defaultdict(set)
+    for a, b in rows:
+        if a != b:
+            adj[a].add(b)
+            adj[b].add(a)
+    p = {a: 1 / len(adj[a]) for a in adj}
+    want = {i: sum((p[i] + sum(p[i] * p[q] for q in adj[i] & adj[j])) ** 2 for j in adj[i]) for i in adj}
+    got = {r.id: r.constraint for r in G.network_constraint(e).collect()}
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
