@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline import registry
 from weftline.operators import graph as G
+from weftline.operators import relational as R
 from weftline.operators import small_graphs as S
 from weftline.operators.shared_graph import shared
 
@@ -119,3 +120,15 @@ def test_network_constraint_joins_no_paths(spark, monkeypatch):
     want = {i: sum((p[i] + sum(p[i] * p[q] for q in adj[i] & adj[j])) ** 2 for j in adj[i]) for i in adj}
     got = {r.id: r.constraint for r in G.network_constraint(e).collect()}
     assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+
+
+def test_haversine_takes_each_distance_once(spark, monkeypatch):
+    # 300 rows at each of 6 places, two of them next to each other: distances of places, not of rows.
+    taken = spark.sparkContext.accumulator(0)
+
+    def side(i):
+        return spark.range(1800).selectExpr(f"id as {'ab'[i - 1]}", f"double(if(id % 6 = 5, 0.5, id % 6 * 20)) as lat{i}", f"0.0D as lon{i}")
+
+    monkeypatch.setattr(R, "haversine", lambda *c, real=R.haversine: F.udf(lambda d: taken.add(1) or d, "double")(real(*c)))
+    n = R.sim_join_haversine(side(1), side(2), "lat1", "lon1", "lat2", "lon2", 100.0).where("a >= 0 and b >= 0").count()
+    assert n == 300 * 300 * 8 and taken.value < 1000
