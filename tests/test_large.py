@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline import registry
 from weftline.operators import graph as G
+from weftline.operators import pair_sums
 from weftline.operators import relational as R
 from weftline.operators import small_graphs as S
 from weftline.operators.shared_graph import shared
@@ -132,3 +133,21 @@ def test_haversine_takes_each_distance_once(spark, monkeypatch):
     monkeypatch.setattr(R, "haversine", lambda *c, real=R.haversine: F.udf(lambda d: taken.add(1) or d, "double")(real(*c)))
     n = R.sim_join_haversine(side(1), side(2), "lat1", "lon1", "lat2", "lon2", 100.0).where("a >= 0 and b >= 0").count()
     assert n == 300 * 300 * 8 and taken.value < 1000
+
+
+@pytest.mark.parametrize("blocks, chunk", [(1, 1 << 22), (4, 50)])
+def test_threshold_join_in_blocks(spark, monkeypatch, blocks, chunk):
+    monkeypatch.setattr(R, "blocks_for", lambda n: blocks)
+    monkeypatch.setattr(pair_sums, "_CHUNK", chunk)
+    r = random.Random(4)
+    side = lambda n: [(f"k{min(r.randrange(30), r.randrange(30))}", r.choice([None, *range(12)])) for _ in range(n)]
+    x, y = side(300) + [(None, 3)] * 9, side(200)
+    a, b = (spark.createDataFrame(rows, "k string, v long") for rows in (x, y))
+    for least in (0, 9, 10**6):
+        want = Counter((k, m) for k, v in x for m, w in y if v == w is not None)
+        want = {p: n for p, n in want.items() if n >= least}
+        out = R.threshold_join(a, "k", "v", b, "k", "v", least)
+        assert {(t.key1, t.key2): t.matches for t in out.collect()} == want
+    # No join makes a row for each pair of keys and value.
+    plan = out._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
