@@ -151,3 +151,22 @@ def test_threshold_join_in_blocks(spark, monkeypatch, blocks, chunk):
     # No join makes a row for each pair of keys and value.
     plan = out._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("blocks, chunk", [(1, 1 << 22), (4, 50)])
+def test_knn_in_blocks(spark, monkeypatch, blocks, chunk):
+    monkeypatch.setattr(G, "blocks_for", lambda n: blocks)
+    monkeypatch.setattr(pair_sums, "_CHUNK", chunk)
+    r = random.Random(5)
+    rows = [(r.randrange(60), 1000 + r.randrange(25)) for _ in range(400)] + [(2000, 3), (77, 2001)]
+    out = defaultdict(set)
+    for a, b in rows:
+        out[a].add(b)
+    out.pop(3)
+    want = set()
+    for a in out:
+        near = sorted((-len(out[a] & out[b]) / len(out[a] | out[b]), b) for b in out if b != a and out[a] & out[b])[:3]
+        want |= {(a, b, -s, i + 1) for i, (s, b) in enumerate(near)}
+    found = G.knn_jaccard(spark.createDataFrame(rows, "src long, dst long"), 3)
+    assert {tuple(x) for x in found.collect()} == want and found.count() == len(want)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
