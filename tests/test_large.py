@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline import registry
+from weftline.llm import ngram_join
+from weftline.llm.scratch import durable
 from weftline.operators import graph as G
 from weftline.operators import pair_sums
 from weftline.operators import relational as R
@@ -170,3 +172,19 @@ def test_knn_in_blocks(spark, monkeypatch, blocks, chunk):
     found = G.knn_jaccard(spark.createDataFrame(rows, "src long, dst long"), 3)
     assert {tuple(x) for x in found.collect()} == want and found.count() == len(want)
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+
+
+def test_documents_that_stay_apart_make_no_pairs(spark, monkeypatch):
+    # 96 common shingles and 13 own ones each: a similarity of 96 / 122, which the signatures leave possible.
+    counts, real = [], ngram_join._between_components
+
+    def seen(*args):
+        out = durable(real(*args))
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_between_components", seen)
+    base = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(d, base + "".join(f" own{d}x{i}" for i in range(13))) for d in range(60)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == {d: d for d in range(60)} and counts == [0]

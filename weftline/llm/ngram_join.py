@@ -35,7 +35,7 @@ SKETCH_BITS = 20
 SKETCH_SLICES = 16
 #: Shingles that a shard gets, on average (a fifth of them are in its tiles).
 SHARD_SHINGLES = 6_000_000
-#: Pairs that a task remembers having passed on.
+#: Pairs that a task remembers as no links.
 PASSED = 400_000
 #: Stands for a null doc_id: larger than any other.
 _NONE = 2**63 - 1
@@ -195,69 +195,133 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([node.slice(block.first, block.n), pa.array(elements, pa.binary())], ["node", "elements"])
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets link."""
+    if len(x) > len(y):
+        x, y = y, x
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+    return 100 * common >= 80 * (len(x) + len(y) - common) and common > 0
+
+
+def _elements(payload: bytes) -> np.ndarray:
+    return np.cumsum(unpack(payload)[0], dtype=U)
+
+
 @returning
 def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        good = []
-        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-            x, y = (np.cumsum(unpack(e)[0], dtype=U) for e in (x, y))
-            if len(x) > len(y):
-                x, y = y, x
-            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
-            good.append(100 * common >= 80 * (len(x) + len(y) - common) and common > 0)
+        good = [_similar(_elements(x), _elements(y)) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
         keep = pa.array(good, pa.bool_())
         yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
 
+def _pairs(rows: list[tuple], across: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of a tile's rows: pairs of fitting sizes in different components whose signatures leave them possible."""
+    side, root, n, octave, wide = (list(x) for x in list(zip(*rows, strict=True))[2:])
+    side, n, octave = np.array(side), np.array(n), np.array(octave)
+    _, root = np.unique(np.array(root, [("d", np.int64), ("t", np.int64)]), return_inverse=True)
+    for o in sorted(set(octave.tolist())):
+        own = np.flatnonzero(octave == o)
+        above = np.flatnonzero(octave == o + 1)
+        x = np.array([wide[i] for i in own]).view(U)
+        y = np.array([wide[i] for i in above]).view(U)
+        for other, y in ((own, x), (above, y[:, : 1 << o] ^ y[:, 1 << o :] if len(above) else y)):
+            for lo in range(0, len(own) * bool(len(other)), 256):
+                a = own[lo : lo + 256]
+                ok = (root[a][:, None] != root[other][None]) & (5 * n[a][:, None] >= 4 * n[other][None]) & (5 * n[other][None] >= 4 * n[a][:, None])
+                if across:
+                    ok &= side[a][:, None] != side[other][None]
+                if other is own:
+                    ok &= a[:, None] < other[None]
+                p, q = np.nonzero(ok)
+                for cut in range(0, len(p), 1 << 16):
+                    u, v = p[cut : cut + (1 << 16)], q[cut : cut + (1 << 16)]
+                    differ = np.bitwise_count(x[lo + u] ^ y[v]).sum(axis=1, dtype=np.int64)
+                    good = n[a[u]] + n[other[v]] >= 9 * differ
+                    yield a[u[good]], other[v[good]]
+
+
+_TILE_ROW = "lod bigint, lot bigint, half bigint, i bigint, j bigint, k bigint, d bigint, t bigint, side bigint, rd bigint, rt bigint, n bigint, octave int, wide array<bigint>"
+
+
+@returning
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by tile: those with a possible pair in it."""
+    key, rows, whole, schema = None, [], [], None
+
+    def close() -> Iterator[pa.RecordBatch]:
+        used = np.zeros(len(rows), bool)
+        if len({r[3] for r in rows}) > 1:
+            for u, v in _pairs(rows, key[1] != key[2]):
+                used[u] = used[v] = True
+        if used.any():
+            yield pa.RecordBatch.from_pylist([whole[x] for x in np.flatnonzero(used)], schema)
+
+    for b in batches:
+        schema = b.schema
+        for r in b.to_pylist():
+            if key != (r["k"], r["i"], r["j"]):
+                yield from close()
+                key, rows, whole = (r["k"], r["i"], r["j"]), [], []
+            rows.append((r["d"], r["t"], r["side"], (r["rd"], r["rt"]), r["n"], r["octave"], r["wide"]))
+            whole.append(r)
+    yield from close()
+
+
 @returning
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by tile: pairs of fitting sizes in different components whose signatures leave them possible."""
-
-    def pairs(rows: list[tuple], across: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        side, root, n, octave, wide = (list(x) for x in list(zip(*rows, strict=True))[2:])
-        side, n, octave = np.array(side), np.array(n), np.array(octave)
-        _, root = np.unique(np.array(root, [("d", np.int64), ("t", np.int64)]), return_inverse=True)
-        for o in sorted(set(octave.tolist())):
-            own = np.flatnonzero(octave == o)
-            above = np.flatnonzero(octave == o + 1)
-            x = np.array([wide[i] for i in own]).view(U)
-            y = np.array([wide[i] for i in above]).view(U)
-            for other, y in ((own, x), (above, y[:, : 1 << o] ^ y[:, 1 << o :] if len(above) else y)):
-                for lo in range(0, len(own) * bool(len(other)), 256):
-                    a = own[lo : lo + 256]
-                    ok = (root[a][:, None] != root[other][None]) & (5 * n[a][:, None] >= 4 * n[other][None]) & (5 * n[other][None] >= 4 * n[a][:, None])
-                    if across:
-                        ok &= side[a][:, None] != side[other][None]
-                    if other is own:
-                        ok &= a[:, None] < other[None]
-                    p, q = np.nonzero(ok)
-                    for cut in range(0, len(p), 1 << 16):
-                        u, v = p[cut : cut + (1 << 16)], q[cut : cut + (1 << 16)]
-                        differ = np.bitwise_count(x[lo + u] ^ y[v]).sum(axis=1, dtype=np.int64)
-                        good = n[a[u]] + n[other[v]] >= 9 * differ
-                        yield a[u[good]], other[v[good]]
+    """Of rows sorted by family and tile, the sets of a family's documents first: links that join components. Pairs of fitting
+    sizes in different components whose signatures leave them possible are intersected here, so fewer rows come out than
+    documents came in."""
+
+    def top(root: tuple) -> tuple:
+        while (up := joined.get(root, root)) != root:
+            joined[root] = joined.get(up, up)
+            root = up
+        return root
+
+    def whole(node: tuple) -> np.ndarray:
+        if isinstance(sets[node], bytes):
+            sets[node] = _elements(sets[node])
+        return sets[node]
 
     def close(key: tuple | None, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if len(rows) < 2:
+        rows = [(d, t, side, top(root), *rest) for d, t, side, root, *rest in rows]
+        if len({r[3] for r in rows}) < 2:
             return
-        d, t = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        for u, v in pairs(rows, key[1] != key[2]):
-            pair = np.stack([d[u], t[u], d[v], t[v]], axis=1)
-            raw = pair.tobytes()
-            own = [raw[x : x + 32] for x in range(0, len(raw), 32)]
-            pair = pair[[x not in passed for x in own]]
-            if len(passed) > PASSED:
-                passed.clear()
-            passed.update(own)
-            if len(pair):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pair.T], ["d", "t", "d2", "t2"])
-
-    # A pair often shares many tiles; one that this task has passed on is left out.
-    passed: set[bytes] = set()
-    key, rows = None, []
+        links = []
+        for u, v in _pairs(rows, key[1] != key[2]):
+            for x, y in zip(u.tolist(), v.tolist(), strict=True):
+                one, two = rows[x][:2], rows[y][:2]
+                pair = (one, two) if one < two else (two, one)
+                roots = top(rows[x][3]), top(rows[y][3])
+                if roots[0] == roots[1] or pair in apart:
+                    continue
+                if _similar(whole(one), whole(two)):
+                    joined[max(roots)] = min(roots)
+                    links.append((*one, *two))
+                else:
+                    if len(apart) > PASSED:
+                        apart.clear()
+                    apart.add(pair)
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["d", "t", "d2", "t2"])
+
+    # Components that links of this task join, and pairs it has found to be no links: a pair often shares many tiles.
+    joined: dict[tuple, tuple] = {}
+    apart: set[tuple] = set()
+    sets: dict[tuple, bytes | np.ndarray] = {}
+    family, key, rows = None, None, []
+    names = ("lod", "lot", "half", "i", "j", "k", "d", "t", "side", "rd", "rt", "n", "octave", "wide", "elements")
     for b in batches:
-        names = ("k", "i", "j", "d", "t", "side", "rd", "rt", "n", "octave", "wide")
-        for k, i, j, d, t, side, rd, rt, n, octave, wide in zip(*[b.column(c).to_pylist() for c in names], strict=True):
+        for lod, lot, half, i, j, k, d, t, side, rd, rt, n, octave, wide, elements in zip(*[b.column(c).to_pylist() for c in names], strict=True):
+            new = (lod, lot, half, i, j)
+            if elements is not None:
+                if family != new:
+                    yield from close(key, rows)
+                    family, key, rows, sets = new, None, [], {}
+                sets[d, t] = elements
+                continue
             if key != (k, i, j):
                 yield from close(key, rows)
                 key, rows = (k, i, j), []
@@ -265,6 +329,12 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close(key, rows)
 
 
+def _sets_of(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, elements of the documents in nodes. rows: node, text of all documents."""
+    wanted = durable(nodes.distinct())
+    return durable(rows.join(small(wanted), "node").mapInArrow(_sets, f"node {_NODE}, elements binary")).dropDuplicates(["node"])
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, signatures: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. rows: node, text of all documents."""
     sides = [signatures.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("octave").alias(f"o{s}"), F.col("wide").alias(f"w{s}")) for s in ("a", "b")]
@@ -273,8 +343,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, signatures: DataFrame) -> DataF
     differ = F.expr(f"aggregate(zip_with(if(oa <= ob, wa, {half.format('wa')}), if(ob <= oa, wb, {half.format('wb')}), (x, y) -> cast(bit_count(x ^ y) as long)), 0L, (s, x) -> s + x)")
     sized = (5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na")) & (F.abs(F.col("oa") - F.col("ob")) <= 1)
     bounded = durable(pairs.join(sides[0], "a").join(sides[1], "b").where(sized).where(F.col("na") + F.col("nb") >= 9 * differ).select("a", "b"))
-    wanted = durable(bounded.select(F.col("a").alias("node")).unionByName(bounded.select(F.col("b").alias("node"))).distinct())
-    found = durable(rows.join(small(wanted), "node").mapInArrow(_sets, f"node {_NODE}, elements binary")).dropDuplicates(["node"])
+    found = _sets_of(bounded.select(F.col("a").alias("node")).unionByName(bounded.select(F.col("b").alias("node"))), rows)
     full = bounded.join(found.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
     return full.select("a", "b", "x", "y").mapInArrow(_intersect, f"a {_NODE}, b {_NODE}")
 
@@ -288,17 +357,27 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*_key()).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _between_components(members: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs a, b of different components that share a tile, are of fitting sizes and pass the bound of the bit counts.
-    members: k, node, root."""
+def _between_components(members: DataFrame, signatures: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links a, b that join the components of documents that share a tile: of all pairs of fitting sizes between them that pass
+    the bound of the bit counts, those that are similar enough, less those that earlier ones make needless. members: k,
+    node, root; rows: node, text of all documents."""
     # Only tiles with more than one component go on.
     whose = [F.xxhash64("node"), F.xxhash64(F.lit(1), "node")]
     tiles = members.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(whose[0]).alias("x"), F.bit_xor(whose[1]).alias("y"))
     # Tiles of the same documents have the same pairs; one of them is enough.
     mixed = durable(tiles.where("lo != hi").groupBy("lo", "n", "x", "y").agg(F.min("k").alias("k")).select("k", "lo", "n"))
     tiles = members.join(mixed.select("k", "lo"), "k").join(signatures, "node").select("k", "lo", "node.d", "node.t", F.col("root.d").alias("rd"), F.col("root.t").alias("rt"), "n", "octave", "wide")
-    # A family's tiles meet in two tasks, for its pairs to be passed on about once: in more tasks they are repeated.
-    found = dealt(tiles, mixed, "k", "t", near=[F.col("lo"), F.pmod("k", F.lit(2))]).mapInArrow(_across, "d bigint, t bigint, d2 bigint, t2 bigint")
+    # A family's tiles meet in two tasks, which get each of its sets once and remember the pairs they have compared.
+    group = ["lod", "lot", "half", "i", "j"]
+    parts = dealt(tiles, mixed, "k", "t", near=[F.col("lo"), F.pmod("k", F.lit(2))]).select(F.col("lo.d").alias("lod"), F.col("lo.t").alias("lot"), F.pmod("k", F.lit(2)).alias("half"), "i", "j", "k", "d", "t", "side", "rd", "rt", "n", "octave", "wide")
+    # Only documents with a possible pair need their sets.
+    split = durable(parts.mapInArrow(_possible, _TILE_ROW))
+    used = split.select(*group, F.struct("d", "t").alias("node")).distinct()
+    sets = used.join(_sets_of(used.select("node"), rows), "node").select(*group, "node.d", "node.t", "elements")
+    tasks = max(8, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Nulls come first in the order: a family's sets before its tiles.
+    both = split.unionByName(sets, allowMissingColumns=True).repartition(tasks, *group).sortWithinPartitions(*group, "k")
+    found = both.mapInArrow(_across, "d bigint, t bigint, d2 bigint, t2 bigint")
     a, b = F.struct("d", "t"), F.struct(F.col("d2").alias("d"), F.col("t2").alias("t"))
     return found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
@@ -340,15 +419,14 @@ def _link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for last in (False, True):
         members = grouped.join(roots, "node", "left").select("k", "node", "n", F.coalesce("root", "node").alias("root"))
         if last:
-            found = _between_components(durable(members.drop("n")), signatures)
+            roots = _joined(roots, durable(_between_components(durable(members.drop("n")), signatures, rows)))
         else:
             # Neighbours by size in a tile: they join most of what the first comparisons left apart.
             by_size = Window.partitionBy("k", F.floor(F.log("n") / math.log(1.25))).orderBy("n", "node")
             with_next = members.select("node", "n", "root", F.lead(F.struct("node", "n", "root")).over(by_size).alias("next"))
             found = with_next.where("root != next.root and 5 * n >= 4 * next.n").select(F.least("node", "next.node").alias("a"), F.greatest("node", "next.node").alias("b"))
-        pairs = durable(found.distinct().join(compared, ["a", "b"], "left_anti"))
-        compared = compared.unionByName(pairs)
-        roots = _joined(roots, durable(_verified(pairs, rows, signatures)))
+            pairs = durable(found.distinct().join(compared, ["a", "b"], "left_anti"))
+            roots = _joined(roots, durable(_verified(pairs, rows, signatures)))
     return signed.select("d", "t", "n"), roots
 
 
