@@ -1,128 +1,343 @@
 """Quality classification by an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over symbols: bytes of the lower-cased text in SYMBOLS classes (a to z, digits, separators, punctuation and
-the bytes of other scripts), in n-grams of ORDER. So its n-grams are a bounded set, while the counts come from all
-trusted texts. Counts are summed by n-gram over the cluster; each level's totals, continuation counts and numbers of
-singletons come from joins and aggregations of those sharded count tables. The finished model, SYMBOLS**ORDER
-probabilities, goes to the executors once as a table of fixed size, and each document's perplexity is a lookup per byte.
+The model is over n-grams of ORDER symbols: the 256 bytes of the text, A-Z lower-cased, and its edge. Counts come from all
+trusted texts and stay in shards; the shard of an n-gram is that of the two symbols before its last, so all its suffixes of
+three symbols or more and their contexts are in the same shard, and continuation counts and totals are taken there. Only
+the levels of one and two symbols, at most SYMBOLS**2 numbers, and the numbers of n-grams that occur once to four times
+meet on the driver.
+
+Texts are scored by a join with those shards. They are put into boxes; a box asks each shard for its distinct n-grams, the
+shard answers with their probabilities from its counts, and the answers meet the box again. Boxes are written in buckets,
+so the texts are not shuffled for that.
 
 A document is kept if its perplexity is at most SLACK times the QUANTILE of the trusted documents in its language, or, where a
-language has no trusted ones, of its own documents.
+language has no trusted ones, of its own documents. As the model has seen the trusted documents, that quantile is of
+perplexities that leave one of the times out that each of their n-grams occurs.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.blocks import SEPARATOR, raw
-from weftline.llm.scratch import durable, small
+from weftline.llm.blocks import LOWER, U, distinct, mix, pack, raw, returning, unpack
+from weftline.llm.scratch import bucketed, durable, small, temporary, unlist
 
-ORDER = 4
-SYMBOLS = 64
+ORDER = 6
+#: Symbol 0 is the edge of a text, 1 + b is byte b.
+SYMBOLS = 257
+SHARDS = 64
 QUANTILE = 0.99
 #: The limit is this many times the quantile, as trusted texts are seen in training and others are not.
 SLACK = 1.25
+#: Text that is put into one box, and that is turned into n-grams at once.
+BOX_BYTES = 16 << 20
+WINDOW_BYTES = 1 << 20
+#: So many boxes share a copy of the shards that answer them, so that what a task reads stays bounded.
+BOXES = 256
 
 
-def _classes() -> np.ndarray:
-    """Symbol of each byte: 0 is the edge of a text, 1 a separator, 2 a digit, 3 to 28 letters, then ASCII marks and other bytes."""
-    out = np.zeros(256, np.uint8)
-    out[:] = 63
-    out[SEPARATOR] = 1
-    out[48:58] = 2
-    out[97:123] = np.arange(3, 29)
-    out[65:91] = np.arange(3, 29)
-    marks = [i for i in range(33, 127) if out[i] == 63]
-    out[marks] = 29 + np.arange(len(marks)) % 6
-    out[128:192] = 35 + np.arange(64) % 20
-    out[192:256] = 55 + np.arange(64) % 8
-    return out
+def _windows(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The codes of the n-grams that end at each symbol (an edge symbol last) of the texts, in runs of whole texts or pieces of
+    a long one: the run's first text, where each of its texts starts among the codes, and the codes."""
+    data, offsets = raw(column)
+    n, first = len(offsets) - 1, 0
+    while first < n:
+        last = int(np.searchsorted(offsets, offsets[first] + WINDOW_BYTES, "right")) - 1
+        last = min(max(last, first + 1), n)
+        at = offsets[first : last + 1] - offsets[first]
+        docs = np.arange(last - first)
+        symbols = np.zeros(at[-1] + len(docs) * ORDER, np.int16)
+        symbols[np.arange(at[-1]) + np.repeat(docs * ORDER + ORDER - 1, np.diff(at))] = LOWER[data[offsets[first] : offsets[last]]].astype(np.int16) + 1
+        sizes = np.diff(at) + 1
+        if len(docs) == 1:
+            for lo in range(0, int(sizes[0]), WINDOW_BYTES):
+                yield first, np.zeros(1, np.int64), _codes(symbols[lo : lo + WINDOW_BYTES + ORDER - 1])
+        else:
+            yield first, np.cumsum(sizes) - sizes, _codes(symbols)[np.arange(sizes.sum()) + np.repeat(docs * (ORDER - 1), sizes)]
+        first = last
+
+
+def _codes(symbols: np.ndarray) -> np.ndarray:
+    code = np.zeros(len(symbols) - ORDER + 1, np.int64)
+    for k in range(ORDER):
+        code *= SYMBOLS
+        code += symbols[k : k + len(code)]
+    return code
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+
 
+def _summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(grams, kind="stable")
+    grams, n = grams[order], n[order]
+    at = _runs(grams)
+    return grams[at], np.add.reduceat(n, at) if len(at) else n
 
-_CLASS = _classes()
 
+class _Counts:
+    """A sum of sorted tables of counts, merged whenever what waits is as large as the sum."""
 
-def _codes(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram code that ends at each symbol of each text (an edge symbol last), and where the texts' codes start."""
-    n = len(offsets) - 1
-    sizes = np.diff(offsets) + 1
-    ends = np.cumsum(sizes + order - 1)
-    symbols = np.zeros(int(ends[-1]) if n else 0, np.int64)
-    pos = np.arange(len(data)) + np.repeat(np.arange(n) * order + order - 1, np.diff(offsets))
-    symbols[pos] = _CLASS[data]
-    code = np.zeros(len(symbols), np.int64)
-    for k in range(order):
-        code[order - 1 - k :] += symbols[: len(symbols) - (order - 1 - k)] << (6 * (order - 1 - k)) if order - 1 - k else symbols
-    real = np.ones(len(symbols), bool)
-    starts = ends - sizes - order + 1
-    for k in range(order - 1):
-        real[starts + k] = False
-    return code[real], np.r_[0, np.cumsum(sizes)]
+    def __init__(self) -> None:
+        self.parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        self.waiting = 0
 
+    def add(self, grams: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((grams, n))
+        self.waiting += len(grams)
+        if self.waiting > len(self.parts[0][0]) + (1 << 20):
+            self.merged()
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SYMBOLS**ORDER, np.int64)
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            self.parts = [_summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
+        self.waiting = 0
+        return self.parts[0]
+
+
+def _by_shard(grams: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the sorted n-grams by shard, then n-gram, and (shard, start, end) of the shards present."""
+    shard = (mix((grams // SYMBOLS % SYMBOLS**2).astype(U)) % U(SHARDS)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    at = _runs(shard[order])
+    return order, [(int(shard[order[a]]), int(a), int(b)) for a, b in zip(at, np.r_[at, len(grams)][1:], strict=True)]
+
+
+@returning
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = _Counts()
     for b in batches:
-        data, offsets = raw(b.column("text"))
-        for lo in range(0, len(offsets) - 1, 512):
-            at = offsets[lo : lo + 513]
-            code, _ = _codes(data[at[0] : at[-1]], at - at[0], ORDER)
-            total += np.bincount(code, minlength=len(total))
-    used = np.flatnonzero(total)
-    for lo in range(0, len(used), 200_000):
-        i = used[lo : lo + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], ["gram", "n"])
+        for _, _, code in _windows(b.column("text")):
+            code = np.sort(code)
+            at = _runs(code)
+            counts.add(code[at], np.diff(at, append=len(code)))
+    grams, n = counts.merged()
+    order, cuts = _by_shard(grams)
+    for shard, lo, hi in cuts:
+        at = order[lo:hi]
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([pack(np.diff(grams[at], prepend=0), n[at])], pa.binary())], ["shard", "payload"])
+
+
+def _shorter(grams: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of order symbols that end those of one more, with how many symbols precede them. Nothing precedes the
+    start of a text, so n-grams from there keep their number."""
+    short = grams % SYMBOLS**order
+    return _summed(short, np.where(short // SYMBOLS ** (order - 1) == 0, n, 1))
+
+
+def _levels(grams: np.ndarray, n: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The counts of a shard's n-grams of ORDER down to 3 symbols."""
+    out = {ORDER: (grams, n)}
+    for order in range(ORDER - 1, 2, -1):
+        out[order] = _shorter(*out[order + 1], order)
+    return out
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """A shard's counts, its numbers of n-grams that occur once to four times by level, and its share of the counts of pairs."""
+    counts = _Counts()
+    for payload in table.column("payload"):
+        steps, n = unpack(payload.as_py())
+        counts.add(np.cumsum(steps), n)
+    grams, n = counts.merged()
+    levels = _levels(grams, n)
+    seen = [int((levels[k][1] == i).sum()) for k in range(3, ORDER + 1) for i in (1, 2, 3, 4)]
+    return pa.table({"shard": table.column("shard")[:1], "payload": pa.array([pack(np.diff(grams, prepend=0), n)], pa.binary()), "seen": pa.array([seen], pa.list_(pa.int64())), "pairs": pa.array([pack(*_shorter(*levels[3], 2))], pa.binary())})
+
+
+def _discounts(seen: np.ndarray) -> np.ndarray:
+    """Discounts of counts 0, 1, 2, 3 and more, from the numbers of n-grams that occur once to four times."""
+    n1, n2, n3, n4 = (float(x) for x in seen)
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    return np.array([0.0, *(min(max(i - (i + 1) * y * b / a, 0.05), i - 0.05) if a and b else 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
+
+
+def _dense(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Probabilities of a level in full: counts by context and symbol, over those of the level below."""
+    d = _discounts([(counts == i).sum() for i in (1, 2, 3, 4)])[np.minimum(counts, 3)]
+    total = counts.sum(axis=1, keepdims=True)
+    return np.where(total > 0, (counts - d + d.sum(axis=1, keepdims=True) * lower) / np.maximum(total, 1), lower)
+
+
+@dataclass
+class Model:
+    """shards: shard, payload (the n-grams of ORDER symbols and their counts). discounts: by level from 3 on. pairs: the
+    probability of each symbol after each symbol."""
+
+    shards: DataFrame
+    discounts: dict[int, np.ndarray]
+    pairs: np.ndarray
+
+
+def learn(trusted: DataFrame) -> Model:
+    """The model of trusted: text."""
+    counted = trusted.select("text").mapInArrow(_count, "shard int, payload binary")
+    shards = durable(counted.groupBy("shard").applyInArrow(_merge, "shard int, payload binary, seen array<long>, pairs binary"))
+    seen, pairs = np.zeros((ORDER - 2, 4), np.int64), np.zeros((SYMBOLS, SYMBOLS), np.int64)
+    for r in shards.select("seen", "pairs").toLocalIterator():
+        seen += np.array(r.seen).reshape(seen.shape)
+        grams, n = unpack(bytes(r.pairs))
+        pairs.ravel()[grams] += n
+    single = _dense((pairs > 0).sum(axis=0, keepdims=True), np.full((1, SYMBOLS), 1.0 / SYMBOLS))
+    return Model(shards.select("shard", "payload"), {k: _discounts(seen[k - 3]) for k in range(3, ORDER + 1)}, _dense(pairs, single))
+
+
+def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where each of x is among the sorted keys, len(keys) where it is not."""
+    at = np.searchsorted(keys, x)
+    hit = at < len(keys)
+    hit[hit] = keys[at[hit]] == x[hit]
+    return np.where(hit, at, len(keys))
+
+
+def _probabilities(asked: np.ndarray, payload: bytes | None, discounts: dict[int, np.ndarray], pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The probability of the last symbol of each asked n-gram after the others, from the counts of their shard, and the same
+    without one of the times that the n-gram occurs, if it does (the levels of one and two symbols stay as they are)."""
+    steps, n = unpack(payload) if payload else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    levels, gone = [], np.ones(len(asked), bool)
+    for order, (grams, n) in _levels(np.cumsum(steps), n).items():
+        d = discounts[order][np.minimum(n, 3)]
+        context = grams // SYMBOLS
+        at = _runs(context)
+        total, held = (np.add.reduceat(x, at) if len(at) else x for x in (n, d))
+        x = asked % SYMBOLS**order
+        here, around = _find(grams, x), _find(context[at], x // SYMBOLS)
+        n, total, held = np.r_[n, 0][here], np.r_[total, 0][around], np.r_[held, 0.0][around]
+        gone = gone & (n > 0)
+        levels.append((order, n, total, held, gone))
+        # A shorter n-gram loses one that precedes it if that is gone altogether, one from the start of a text loses its own.
+        gone = gone & ((n == 1) | (x % SYMBOLS ** (order - 1) // SYMBOLS ** (order - 2) == 0))
+    p = left = pairs[asked // SYMBOLS % SYMBOLS, asked % SYMBOLS]
+    for order, n, total, held, gone in reversed(levels):
+        d, less = (discounts[order][np.minimum(x, 3)] for x in (n, n - gone))
+        p = np.where(total > 0, (n - d + held * p) / np.maximum(total, 1), p)
+        left = np.where(total > gone, (n - gone - less + (held - d + less) * left) / np.maximum(total - gone, 1), left)
+    return p, left
 
 
 def train(trusted: DataFrame) -> np.ndarray:
-    """log2 probability of each code: symbol given the ORDER - 1 before it. trusted: text."""
-    counts = durable(trusted.select("text").mapInArrow(_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    levels = [counts]
-    for order in range(ORDER - 1, 0, -1):
-        # Continuation counts: how many symbols precede the shorter n-gram.
-        shorter = levels[0].select((F.col("gram") % F.lit(SYMBOLS**order)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-        levels.insert(0, durable(shorter))
-    lower = np.full(1, 1.0 / SYMBOLS)
-    for order, level in enumerate(levels, 1):
-        of = level.agg(*[F.sum((F.col("n") == i).cast("long")) for i in (1, 2, 3, 4)]).first()
-        n1, n2, n3, n4 = (float(x or 0) for x in of)
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        d = [0.0, *(min(max(i - (i + 1) * y * b / a, 0.05), i - 0.05) if a and b else 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
-        discount = F.when(F.col("n") == 1, d[1]).when(F.col("n") == 2, d[2]).otherwise(d[3])
-        by = level.withColumn("context", F.floor(F.col("gram") / SYMBOLS)).withColumn("d", discount)
-        context = by.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("held"))
-        # At most SYMBOLS**ORDER rows: the size of the table below.
-        rows = by.join(context, "context").select("gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"), "context", (F.col("held") / F.col("total")).alias("back")).toPandas()
-        back = np.ones(SYMBOLS ** (order - 1))
-        back[rows["context"].to_numpy()] = rows["back"].to_numpy()
-        p = (back[:, None] * np.tile(lower.reshape(-1, SYMBOLS) if order > 1 else np.full((1, SYMBOLS), lower[0]), (SYMBOLS if order > 1 else 1, 1))[: len(back)]).ravel()
-        p[rows["gram"].to_numpy()] += rows["p"].to_numpy()
-        lower = p
-    return np.log2(lower).astype(np.float32)
-
-
-def _score(model) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.value
-        for b in batches:
-            data, offsets = raw(b.column("text"))
-            out = []
-            for lo in range(0, len(offsets) - 1, 512):
-                at = offsets[lo : lo + 513]
-                code, starts = _codes(data[at[0] : at[-1]], at - at[0], ORDER)
-                sums = np.add.reduceat(table[code].astype(np.float64), starts[:-1])
-                out.append(np.exp2(-sums / np.diff(starts)))
-            perplexity = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(np.diff(offsets)), pa.array(perplexity)], ["doc_id", "lang", "n_bytes", "perplexity"])
+    """log2 probability of each symbol (SYMBOLS of them) after each context of ORDER - 1 symbols that occurs, in one array: a
+    view of the model for small texts. trusted: text."""
+    with temporary(trusted.sparkSession):
+        model = learn(trusted)
+        out = []
+        for r in model.shards.orderBy("shard").collect():
+            contexts = distinct(np.cumsum(unpack(bytes(r.payload))[0]) // SYMBOLS)
+            out.append(_probabilities((contexts[:, None] * SYMBOLS + np.arange(SYMBOLS)).ravel(), bytes(r.payload), model.discounts, model.pairs)[0])
+    return np.log2(np.concatenate(out)).astype(np.float32) if out else np.zeros(0, np.float32)
+
+
+@returning
+def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about BOX_BYTES of text, or one longer row, as compressed Arrow streams with a number each."""
+    held, size, number = [], 0, TaskContext.get().partitionId() << 32
+
+    def box() -> pa.RecordBatch:
+        out = io.BytesIO()
+        with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as stream:
+            for b in held:
+                stream.write_batch(b)
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([out.getvalue()], pa.binary())], ["box", "payload"])
+
+    for b in batches:
+        weight = raw(b.column("text"))[1] + 64 * np.arange(b.num_rows + 1)
+        lo = 0
+        while lo < b.num_rows:
+            hi = min(max(int(np.searchsorted(weight, weight[lo] + BOX_BYTES - size, "right")) - 1, lo + 1), b.num_rows)
+            held.append(b.slice(lo, hi - lo))
+            size += int(weight[hi] - weight[lo])
+            lo = hi
+            if size >= BOX_BYTES:
+                yield box()
+                held, size, number = [], 0, number + 1
+    if held:
+        yield box()
+
+
+def _wanted(texts: list[pa.RecordBatch]) -> np.ndarray:
+    """The distinct n-grams of a box, in order."""
+    known, new = np.zeros(0, np.int64), []
+    for b in texts:
+        for _, _, code in _windows(b.column("text")):
+            new.append(distinct(code))
+            if sum(map(len, new)) > len(known) + (1 << 20):
+                known, new = distinct(np.concatenate([known, *new])), []
+    return distinct(np.concatenate([known, *new]))
+
+
+def _texts(payload: bytes) -> list[pa.RecordBatch]:
+    return list(pa.ipc.open_stream(payload))
+
+
+@returning
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for box, payload in zip(b.column("box"), b.column("payload"), strict=True):
+            grams = _wanted(_texts(payload.as_py()))
+            order, cuts = _by_shard(grams)
+            payloads = [pack(np.diff(grams[order[lo:hi]], prepend=0)) for _, lo, hi in cuts]
+            yield pa.RecordBatch.from_arrays([pa.array([box.as_py()] * len(cuts), pa.int64()), pa.array([s for s, _, _ in cuts], pa.int32()), pa.array(payloads, pa.binary())], ["box", "shard", "payload"])
+
+
+def _answer(model) -> Callable:
+    def run(asked: pa.Table, shard: pa.Table) -> pa.Table:
+        each = [np.cumsum(unpack(x.as_py())[0]) for x in asked.column("payload")]
+        grams = distinct(np.concatenate(each)) if each else np.zeros(0, np.int64)
+        logs, left = (np.log2(p) for p in _probabilities(grams, shard.column("payload")[0].as_py() if len(shard) else None, *model.value))
+        logs, less = logs.astype(np.float32), (left - logs).astype(np.float32)
+        places = [np.searchsorted(grams, x) for x in each]
+        return pa.table({"box": asked.column("box"), "shard": asked.column("shard"), "payload": pa.array([pack(logs[i], less[i]) for i in places], pa.binary())})
 
     return run
 
 
+def _score(box: pa.Table, answers: pa.Table) -> pa.Table:
+    texts = _texts(box.column("payload")[0].as_py())
+    grams = _wanted(texts)
+    order, cuts = _by_shard(grams)
+    by_shard = dict(zip(answers.column("shard").to_pylist(), answers.column("payload"), strict=True))
+    logs = np.zeros((2, len(grams)), np.float32)
+    for shard, lo, hi in cuts:
+        logs[:, order[lo:hi]] = unpack(by_shard[shard].as_py())
+    find = pd.Index(grams)
+    out = []
+    for b in texts:
+        n_bytes, sums = np.diff(raw(b.column("text"))[1]), np.zeros((2, b.num_rows))
+        for first, starts, code in _windows(b.column("text")):
+            sums[:, first : first + len(starts)] += np.add.reduceat(logs[:, find.get_indexer(code)].astype(np.float64), starts, axis=1)
+        seen, unseen = np.exp2(-np.array([sums[0], sums[0] + sums[1]]) / (n_bytes + 1))
+        out.append(pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(n_bytes), pa.array(seen), pa.array(unseen)], ["doc_id", "lang", "n_bytes", "perplexity", "left_out"]))
+    return pa.Table.from_batches(out)
+
+
+def _perplexities(rows: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang, n_bytes, perplexity, left_out (what the perplexity were without one of the times that each n-gram occurs in
+    trusted texts) of rows (doc_id, text, lang), written."""
+    spark = rows.sparkSession
+    # Boxes are few and large, so with four buckets a partition not many meet in one by chance.
+    boxes = bucketed(rows.mapInArrow(_boxes, "box long, payload binary"), "box", 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        copies = -(-boxes.count() // BOXES) or 1
+        asked = boxes.mapInArrow(_ask, "box long, shard int, payload binary").withColumn("copy", F.pmod(F.hash("box"), F.lit(copies)))
+        shards = model.shards.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        shared = spark.sparkContext.broadcast((model.discounts, model.pairs))
+        answers = asked.groupBy("shard", "copy").cogroup(shards.groupBy("shard", "copy")).applyInArrow(_answer(shared), "box long, shard int, payload binary")
+        return durable(boxes.groupBy("box").cogroup(answers.groupBy("box")).applyInArrow(_score, "doc_id long, lang string, n_bytes long, perplexity double, left_out double"))
+    finally:
+        unlist(boxes)
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """One row per row of docs (doc_id, text, lang; others are ignored): doc_id, lang, n_bytes, perplexity, threshold, kept.
 
@@ -130,14 +345,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     edge symbol; null is a language of its own. Without trusted text the model is uniform and everything is kept.
     """
     ids = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     # All of them train the model and set the limits. Above the size of a broadcast the texts are shuffled once, to
     # train; the marks are joined to the scored rows, which have no text.
-    ids = durable(ids)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    model = docs.sparkSession.sparkContext.broadcast(train(rows.join(small(ids), "doc_id")))
-    scored = durable(rows.mapInArrow(_score(model), "doc_id long, lang string, n_bytes long, perplexity double"))
+    with temporary(docs.sparkSession) as keep:
+        ids = keep(durable(ids))
+        scored = keep(_perplexities(rows, learn(rows.join(small(ids), "doc_id"))))
     scored = scored.join(small(ids.withColumn("trusted", F.lit(True))), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     own = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
-    limits = scored.groupBy("lang").agg(F.coalesce(F.percentile_approx(F.when(F.col("trusted"), F.col("perplexity")), F.lit(quantile), F.lit(10_000)), own).alias("threshold"))
+    limits = scored.groupBy("lang").agg(F.coalesce(F.percentile_approx(F.when(F.col("trusted"), F.col("left_out")), F.lit(quantile), F.lit(10_000)), own).alias("threshold"))
     limits = limits.select(F.col("lang").alias("of"), (F.col("threshold") * SLACK).alias("threshold"))
     return scored.join(limits, F.col("lang").eqNullSafe(F.col("of"))).select("doc_id", "lang", "n_bytes", "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("kept"))

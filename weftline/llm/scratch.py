@@ -60,6 +60,28 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """As durable(), in buckets by key, so that a join by it moves the other side only.
+
+    Buckets need a name in the session's catalog, which unlist() takes away again; the table stays, like others.
+    """
+    spark = df.sparkSession
+    name = uuid.uuid4().hex
+    path = f"{folder(spark)}/weftline-{spark.sparkContext.applicationId}/{name}"
+    if _open.get():
+        _open.get()[-1].append(path)
+    listed = f"spark_catalog.default.weftline_{name}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(listed)
+    out = spark.table(listed)
+    out._written_to, out._listed = path, listed
+    return out
+
+
+def unlist(frame: DataFrame) -> None:
+    """Take the name of a bucketed() table out of the catalog, once no lazy frame reads it any more."""
+    frame.sparkSession.sql(f"drop table {frame._listed}")
+
+
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables that durable() returned and no lazy frame reads any more."""
     for frame in frames:
