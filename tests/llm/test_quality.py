@@ -10,7 +10,7 @@ import pytest
 
 from weftline.llm import quality
 from weftline.llm.blocks import pack
-from weftline.llm.scratch import bucketed, unlist
+from weftline.llm.scratch import durable, small
 
 
 def test_all_trusted_documents_count(spark):
@@ -71,14 +71,31 @@ def test_perplexities_equal_brute_force(spark, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("weftline_")]
 
 
-def test_texts_do_not_move_to_be_scored(spark):
-    """Boxes meet their answers in buckets: the only exchange by box is that of the answers."""
+def test_texts_do_not_move(spark, monkeypatch):
+    """Boxes are in buckets: no exchange has their payload, whether the trusted ids are few or many."""
     rows = spark.createDataFrame([(1, "some text", "en"), (2, None, None)], "doc_id long, text string, lang string")
-    boxes = bucketed(rows.mapInArrow(quality._boxes, "box long, payload binary"), "box", 4)
-    answers = spark.createDataFrame([], "box long, shard int, payload binary")
-    plan = boxes.groupBy("box").cogroup(answers.groupBy("box")).applyInArrow(quality._score, "doc_id long")._jdf.queryExecution().executedPlan().toString()
-    unlist(boxes)
-    assert plan.count("Exchange hashpartitioning(box") == 1
+    plans = []
+    for limit in (quality.small.__defaults__[0], 0):
+        monkeypatch.setattr(quality, "small", lambda df, limit=limit: small(df, limit))
+        monkeypatch.setattr(quality, "durable", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or durable(df))
+        with quality._boxed(rows) as boxes:
+            model = quality.learn(boxes, spark.range(2).toDF("doc_id"))
+            assert {r.doc_id for r in quality._perplexities(boxes, model).collect()} == {1, 2}
+    assert len(plans) == 4
+    for plan in plans:
+        tree = plan.split("\n")
+        ends = []
+        for i in (i for i, line in enumerate(tree) if "FileScan" in line and "payload" in line and "spark_catalog" in line):
+            depth = tree[i].index("FileScan")
+            for line in reversed(tree[:i]):
+                here = len(line) - len(line.lstrip(" :+-"))
+                if here < depth:
+                    depth = here
+                    assert "Exchange" not in line
+                    if "CoGroups" in line or "MapInArrow" in line:
+                        ends.append("CoGroups" in line)
+                        break
+        assert any(ends)
 
 
 def test_no_trusted_text_leaves_a_uniform_model(spark):

@@ -8,7 +8,7 @@ meet on the driver.
 
 Texts are scored by a join with those shards. They are put into boxes; a box asks each shard for its distinct n-grams, the
 shard answers with their probabilities from its counts, and the answers meet the box again. Boxes are written in buckets,
-so the texts are not shuffled for that.
+so neither that nor marking the trusted texts in them shuffles any text.
 
 A document is kept if its perplexity is at most SLACK times the QUANTILE of the trusted documents in its language, or, where a
 language has no trusted ones, of its own documents. As the model has seen the trusted documents, that quantile is of
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -114,19 +115,21 @@ def _by_shard(grams: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]
     return order, [(int(shard[order[a]]), int(a), int(b)) for a, b in zip(at, np.r_[at, len(grams)][1:], strict=True)]
 
 
-@returning
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = _Counts()
-    for b in batches:
-        for _, _, code in _windows(b.column("text")):
+def _count(box: pa.Table, marks: pa.Table) -> pa.Table:
+    """The n-grams of the texts at the marked places of a box, by shard."""
+    counts, first = _Counts(), 0
+    places = np.sort(np.concatenate([np.asarray(x.values) for x in marks.column("places")] or [np.zeros(0, np.int64)]))
+    for b in _texts(box.column("payload")[0].as_py()):
+        own = places[np.searchsorted(places, first) : np.searchsorted(places, first + b.num_rows)] - first
+        first += b.num_rows
+        for _, _, code in _windows(b.column("text").take(pa.array(own))):
             code = np.sort(code)
             at = _runs(code)
             counts.add(code[at], np.diff(at, append=len(code)))
     grams, n = counts.merged()
     order, cuts = _by_shard(grams)
-    for shard, lo, hi in cuts:
-        at = order[lo:hi]
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([pack(np.diff(grams[at], prepend=0), n[at])], pa.binary())], ["shard", "payload"])
+    payloads = [pack(np.diff(grams[order[lo:hi]], prepend=0), n[order[lo:hi]]) for _, lo, hi in cuts]
+    return pa.table({"shard": pa.array([s for s, _, _ in cuts], pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
 
 def _shorter(grams: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,9 +183,11 @@ class Model:
     pairs: np.ndarray
 
 
-def learn(trusted: DataFrame) -> Model:
-    """The model of trusted: text."""
-    counted = trusted.select("text").mapInArrow(_count, "shard int, payload binary")
+def learn(boxes: DataFrame, ids: DataFrame) -> Model:
+    """The model of the boxed texts whose doc_id is in ids, each id once there. The ids of the texts move, not the texts."""
+    places = boxes.select(F.col("box").alias("of"), F.posexplode("ids").alias("place", "doc_id")).join(small(ids), "doc_id")
+    marks = places.groupBy("of").agg(F.collect_list(F.col("place").cast("long")).alias("places"))
+    counted = boxes.select("box", "payload").groupBy("box").cogroup(marks.groupBy("of")).applyInArrow(_count, "shard int, payload binary")
     shards = durable(counted.groupBy("shard").applyInArrow(_merge, "shard int, payload binary, seen array<long>, pairs binary"))
     seen, pairs = np.zeros((ORDER - 2, 4), np.int64), np.zeros((SYMBOLS, SYMBOLS), np.int64)
     for r in shards.select("seen", "pairs").toLocalIterator():
@@ -229,8 +234,10 @@ def _probabilities(asked: np.ndarray, payload: bytes | None, discounts: dict[int
 def train(trusted: DataFrame) -> np.ndarray:
     """log2 probability of each symbol (SYMBOLS of them) after each context of ORDER - 1 symbols that occurs, in one array: a
     view of the model for small texts. trusted: text."""
-    with temporary(trusted.sparkSession):
-        model = learn(trusted)
+    spark = trusted.sparkSession
+    rows = trusted.select(F.lit(0).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit("").alias("lang"))
+    with temporary(spark), _boxed(rows) as boxes:
+        model = learn(boxes, spark.range(1).toDF("doc_id"))
         out = []
         for r in model.shards.orderBy("shard").collect():
             contexts = distinct(np.cumsum(unpack(bytes(r.payload))[0]) // SYMBOLS)
@@ -240,7 +247,7 @@ def train(trusted: DataFrame) -> np.ndarray:
 
 @returning
 def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about BOX_BYTES of text, or one longer row, as compressed Arrow streams with a number each."""
+    """Runs of rows with about BOX_BYTES of text, or one longer row, as compressed Arrow streams with a number each, and their ids."""
     held, size, number = [], 0, TaskContext.get().partitionId() << 32
 
     def box() -> pa.RecordBatch:
@@ -248,7 +255,8 @@ def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as stream:
             for b in held:
                 stream.write_batch(b)
-        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([out.getvalue()], pa.binary())], ["box", "payload"])
+        ids = [x for b in held for x in b.column("doc_id").to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([out.getvalue()], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], ["box", "payload", "ids"])
 
     for b in batches:
         weight = raw(b.column("text"))[1] + 64 * np.arange(b.num_rows + 1)
@@ -321,23 +329,30 @@ def _score(box: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out)
 
 
-def _perplexities(rows: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, left_out (what the perplexity were without one of the times that each n-gram occurs in
-    trusted texts) of rows (doc_id, text, lang), written."""
-    spark = rows.sparkSession
+@contextmanager
+def _boxed(rows: DataFrame) -> Iterator[DataFrame]:
+    """box, payload, ids: rows (doc_id, text, lang) in boxes, written in buckets. They can't be read afterwards."""
     # Boxes are few and large, so with four buckets a partition not many meet in one by chance.
-    boxes = bucketed(rows.mapInArrow(_boxes, "box long, payload binary"), "box", 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    boxes = bucketed(rows.mapInArrow(_boxes, "box long, payload binary, ids array<long>"), "box", buckets)
     try:
-        copies = -(-boxes.count() // BOXES) or 1
-        asked = boxes.mapInArrow(_ask, "box long, shard int, payload binary").withColumn("copy", F.pmod(F.hash("box"), F.lit(copies)))
-        shards = model.shards.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-        shared = spark.sparkContext.broadcast((model.discounts, model.pairs))
-        answers = asked.groupBy("shard", "copy").cogroup(shards.groupBy("shard", "copy")).applyInArrow(_answer(shared), "box long, shard int, payload binary")
-        return durable(boxes.groupBy("box").cogroup(answers.groupBy("box")).applyInArrow(_score, "doc_id long, lang string, n_bytes long, perplexity double, left_out double"))
+        yield boxes
     finally:
         unlist(boxes)
 
 
+def _perplexities(boxes: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang, n_bytes, perplexity, left_out (what the perplexity were without one of the times that each n-gram occurs in
+    trusted texts) of the boxed rows, written."""
+    copies = -(-boxes.count() // BOXES) or 1
+    boxes = boxes.select("box", "payload")
+    asked = boxes.mapInArrow(_ask, "box long, shard int, payload binary").withColumn("copy", F.pmod(F.hash("box"), F.lit(copies)))
+    shards = model.shards.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    shared = boxes.sparkSession.sparkContext.broadcast((model.discounts, model.pairs))
+    answers = asked.groupBy("shard", "copy").cogroup(shards.groupBy("shard", "copy")).applyInArrow(_answer(shared), "box long, shard int, payload binary")
+    return durable(boxes.groupBy("box").cogroup(answers.groupBy("box")).applyInArrow(_score, "doc_id long, lang string, n_bytes long, perplexity double, left_out double"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """One row per row of docs (doc_id, text, lang; others are ignored): doc_id, lang, n_bytes, perplexity, threshold, kept.
 
@@ -346,11 +361,12 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     """
     ids = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    # All of them train the model and set the limits. Above the size of a broadcast the texts are shuffled once, to
-    # train; the marks are joined to the scored rows, which have no text.
+    # All of them train the model and set the limits. They are marked by id, in boxes and among scored rows, so no texts are
+    # shuffled however many ids there are.
     with temporary(docs.sparkSession) as keep:
         ids = keep(durable(ids))
-        scored = keep(_perplexities(rows, learn(rows.join(small(ids), "doc_id"))))
+        with _boxed(rows) as boxes:
+            scored = keep(_perplexities(boxes, learn(boxes, ids)))
     scored = scored.join(small(ids.withColumn("trusted", F.lit(True))), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     own = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     limits = scored.groupBy("lang").agg(F.coalesce(F.percentile_approx(F.when(F.col("trusted"), F.col("left_out")), F.lit(quantile), F.lit(10_000)), own).alias("threshold"))
