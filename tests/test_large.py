@@ -137,6 +137,24 @@ def test_haversine_takes_each_distance_once(spark, monkeypatch):
     assert n == 300 * 300 * 8 and taken.value < 1000
 
 
+@pytest.mark.parametrize("run, gathered", [(128, 100_000), (40, 90)])
+def test_haversine_pairs_of_one_place_are_made_in_all_tasks(spark, monkeypatch, run, gathered):
+    monkeypatch.setattr(R, "_RUN", run)
+    monkeypatch.setattr(R, "_GATHERED", gathered)
+    # 600 and 700 rows at a place, with equal ones and nulls among them, and its other zero; a few next to it and elsewhere.
+    place = "if(id < 600, double(-(id % 2)) * 0.0D, id % 3 * 0.5D)"
+    side = lambda i, n: spark.range(n).selectExpr(f"if(id % 5 = 0, null, id div 2) as {'ab'[i - 1]}", f"if(id % 7 = 0, null, {place}) as lat{i}", f"if(id % 11 = 0, null, 10.0D) as lon{i}")
+    one, two = side(1, 620), side(2, 700)
+    pairs = R.sim_join_haversine(one, two, "lat1", "lon1", "lat2", "lon2", 60.0)
+    got = pairs.withColumn("task", F.spark_partition_id()).collect()
+    rows = [[r for r in x.collect() if r[1] is not None and r[2] is not None] for x in (one, two)]
+    want = Counter((x[0], y[0], x[1], y[1]) for x in rows[0] for y in rows[1] if abs(x[1] - y[1]) <= 0.5)
+    assert pairs.columns == ["a", "lat1", "lon1", "b", "lat2", "lon2", "distance"]
+    assert Counter((r.a, r.b, r.lat1, r.lat2) for r in got) == want
+    per_task = Counter(r.task for r in got)
+    assert len(per_task) == 4 and max(per_task.values()) < 0.4 * len(got)
+
+
 @pytest.mark.parametrize("blocks, chunk", [(1, 1 << 22), (4, 50)])
 def test_threshold_join_in_blocks(spark, monkeypatch, blocks, chunk):
     monkeypatch.setattr(R, "blocks_for", lambda n: blocks)
